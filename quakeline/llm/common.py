@@ -1,38 +1,20 @@
-"""Helpers shared by the training-data operators: tables, shared scratch space, Arrow batches."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quakeline.operators.scratch import shared_dir, stored
+
+__all__ = ["lower_ascii", "shared_dir", "stored", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory; only Spark opens the path, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder: spark.checkpoint.dir, or one of our own where unset (local runs)."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quakeline-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return context.getCheckpointDir() or named
-
-
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: compact, prunable, safe against lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quakeline-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(c: Column | str) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(F.col(c) if isinstance(c, str) else c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

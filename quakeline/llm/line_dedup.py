@@ -6,8 +6,8 @@ its own segments in an index, keyed by length, segment number and text, and prob
 LIMIT below its own at the few places that the multi-match rule leaves. Pairs that meet are verified by a banded
 bit-parallel edit distance: the 2 * LIMIT + 1 cells of a column are the bits of one number.
 
-Segments that many lines share are no key: they are split again. The two rests of a line around such a segment
-differ by LIMIT edits together, so one of them by LIMIT / 2 at most; see `_rests`.
+A segment that many lines share is a hot key. Its pairs are made on a condition on letter counts, which no pair
+within the limit fails, so that a group of lines with the same beginning makes few pairs, and no group is gathered.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quakeline.llm.common import stored
@@ -102,15 +103,58 @@ def within(a: Column, b: Column, limit: int = LIMIT) -> Column:
     return (F.abs(m - F.length(b)) <= limit) & (distance <= limit)
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Length of the longest common beginning, by halving steps."""
+    shorter = F.least(F.length(a), F.length(b))
+    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(shorter, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    same = lambda p, s: (p + s <= shorter) & (F.substring(a, p + 1, s) == F.substring(b, p + 1, s))
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(same(p, s), p + s).otherwise(p))
+
+
+def one_gap(a: Column, b: Column) -> Column:
+    """False only for rests (as of `differing`, before the filling) that are more than two edits apart.
+
+    Their first and last characters differ, so of two edits one is at either end: past the first, they are equal up
+    to the last.
+    """
+    m, n = F.length(a), F.length(b)
+    past = lambda i, j: _common(F.substring(a, i + 1, m), F.substring(b, j + 1, n)) >= F.least(m - i, n - j) - 2
+    return (F.least(m, n) <= 4) | past(1, 1) | past(1, 0) | past(0, 1)
+
+
+def differing(a: str, b: str) -> tuple[list[Column], list[Column], Column, Column]:
+    """Columns in three steps that cut the common beginning and end off columns a and b: lengths, then the rests.
+
+    The distance of the rests is that of the lines. Each rest gets LIMIT equal characters at its end, so that it is
+    never too short for the band.
+    """
+    pad = F.lit("\x00" * LIMIT)
+    front = _common(F.col(a), F.col(b)).alias("_front")
+    rest = [F.reverse(F.substring(F.col(c), F.col("_front") + 1, F.length(c))).alias(f"_r{c}") for c in (a, b)]
+    back = _common(F.col(f"_r{a}"), F.col(f"_r{b}"))
+    return [front], rest, *(F.reverse(F.substring(F.col(f"_r{c}"), back + 1, F.length(f"_r{c}"))) for c in (a, b))
+
+
 #: Groups of letters whose counts bound the distance from below: an edit changes two of them by one at most.
-GROUPS = ("a", "e", "in", "or", "tl", "sdu", "hm", "cb")
+GROUPS = ("a", "e", "in", "or", "tl", "sdu", "hm", "cb ")
+#: An index key of more lines than this is hot: its pairs are made on the condition that the counts fit.
+HOT = 8
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of each group, modulo 256, as the bytes of one number. Lines within the limit differ by few in each."""
+    counts = [(F.length(line) - F.length(F.translate(line, g, ""))) % 256 for g in GROUPS]
+    out = counts[0].cast("long")
+    for k, c in enumerate(counts[1:], 1):
+        out = out.bitwiseOR(F.shiftleft(c.cast("long"), 8 * k))
+    return out
 
 
 def counts_fit(a: Column, b: Column, limit: int = LIMIT) -> Column:
-    """False only for lines further apart than limit: letters of each group are counted."""
-    count = lambda x, g: F.length(x) - F.length(F.translate(x, g, ""))
-    apart = sum((F.abs(count(a, g) - count(b, g)) for g in GROUPS), F.lit(0))
-    return apart <= 2 * limit
+    """False only for lines further apart than limit."""
+    byte = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
+    apart = lambda k: F.abs(F.pmod(byte(a, k) - byte(b, k) + 128, F.lit(256)) - 128)
+    return sum((apart(k) for k in range(1, len(GROUPS))), apart(0)) <= 2 * limit
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -119,17 +163,36 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return stored(firsts.select(F.monotonically_increasing_id().alias("id"), "line", "place.doc_id", "place.pos"), "zstd")
 
 
+def _keyed(lines: DataFrame, name: str, keys: Callable, limit: int, *more: str) -> DataFrame:
+    return lines.select(F.col("id").alias(name), F.explode(keys(F.col("line"), limit)).alias("key"), *(F.col(c).alias(f"{c}_{name}") for c in more))
+
+
+def meeting(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Pairs (a, b) of ids that meet in the index: all of keys with few lines, and of hot keys those whose counts fit."""
+    index = _keyed(lines, "a", index_keys, limit).withColumn("n", F.count("*").over(W.partitionBy("key")))
+    cold = index.filter(F.col("n") <= HOT).join(_keyed(lines, "b", probe_keys, limit), "key").filter("a <> b").select("a", "b")
+    hot = stored(index.filter(F.col("n") > HOT).groupBy("key").agg(F.count("*").alias("n")).select("key"))
+    few = F.broadcast(hot) if hot.count() <= BROADCAST_PAIRS else hot
+    counted = lines.withColumn("c", letter_counts(F.col("line")))
+    sides = [_keyed(counted, s, k, limit, "c").join(few, "key", "left_semi") for s, k in (("a", index_keys), ("b", probe_keys))]
+    warm = sides[0].join(sides[1], "key").filter((F.col("a") != F.col("b")) & counts_fit(F.col("c_a"), F.col("c_b"), limit)).select("a", "b")
+    return stored(cold.union(warm).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def near_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Pairs (a, b) of ids of distinct lines within limit edits, each once. lines: id, line. Stored."""
-    index = lines.select(F.col("id").alias("a"), F.explode(index_keys(F.col("line"), limit)).alias("key"))
-    probes = lines.select(F.col("id").alias("b"), F.explode(probe_keys(F.col("line"), limit)).alias("key"))
-    met = stored(index.join(probes, "key").filter("a <> b").select("a", "b").distinct())
+    met = meeting(lines, limit)
     ids = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
     ids = F.broadcast(ids) if met.count() <= BROADCAST_PAIRS else ids
-    texts = stored(lines.join(ids, "id", "left_semi").select("id", "line"), "zstd")
-    a, b = (texts.select(F.col("id").alias(k), F.col("line").alias(f"l{k}")) for k in "ab")
-    both = met.join(a, "a").join(b, "b").filter(counts_fit(F.col("la"), F.col("lb"), limit))
-    return stored(both.filter(within(F.col("la"), F.col("lb"), limit)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    texts = stored(lines.join(ids, "id", "left_semi").select("id", "line", letter_counts(F.col("line")).alias("c")), "zstd")
+    a, b = (texts.select(F.col("id").alias(k), F.col("line").alias(f"l{k}"), F.col("c").alias(f"c{k}")) for k in "ab")
+    both = met.join(a, "a").join(b, "b").filter(counts_fit(F.col("ca"), F.col("cb"), limit))
+    front, rests, ma, mb = differing("la", "lb")
+    both = both.select("*", *front).select("*", *rests).select("a", "b", ma.alias("ma"), mb.alias("mb"))
+    if limit == 2:
+        both = both.filter(one_gap(F.col("ma"), F.col("mb")))
+    pad = F.lit("\x00" * limit)  # equal ends, so that no rest is too short for the band
+    return stored(both.filter(within(F.concat("ma", pad), F.concat("mb", pad), limit)).select("a", "b"))
 
 
 def repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:

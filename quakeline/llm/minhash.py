@@ -121,14 +121,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = stored(keys.join(shared, "key").select("key", "leader", "doc_id").distinct())
     star = stored(members.filter("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
     sets = _sets_of(docs, members.select("doc_id").distinct())
-    links = stored(_confirmed(star, sets, percent))
-    roots = components(links)
+    links = stored(_confirmed(star, sets, percent))  # a < b
+    # a label that any link supports serves to leave out pairs; what it leaves apart is only compared once more
+    first = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    second = first.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    roots = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     open_ = stored(placed.join(split, "key", "left_semi").select("doc_id", "root").distinct())
     pairs = _prefix_candidates(sets.join(open_.select("doc_id"), "doc_id", "left_semi"), open_, percent)
     more = _confirmed(pairs, sets, percent)
-    roots = stored(components(links.union(more)))
+    roots = components(links.union(more))
     named_roots = classes.join(roots, classes["rep"] == roots["node"], "left").select("f1", "f2", "n_shingles", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named_roots, ["f1", "f2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
