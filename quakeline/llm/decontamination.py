@@ -161,10 +161,10 @@ def scan(texts: list[str | None], found: list[SuffixAutomaton]) -> Iterator[tupl
             yield int(w.at[k + 1] - w.at[k]), [(int(w.start[lo]) - off, int(w.end[hi - 1]) - off) for lo, hi in own], sum(hi - lo for lo, hi in own), names.get(k, set())
 
 
-def _reports(found: object) -> Callable:
+def _reports(found: list[SuffixAutomaton]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(scan(batch.column(1).to_pylist(), found.value))
+            rows = list(scan(batch.column(1).to_pylist(), found))
             yield pa.record_batch(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(r[3])).encode()).hexdigest() for r in rows], pa.string())],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
@@ -179,16 +179,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     A word is hit inside any occurrence of `window` consecutive item words, or of a whole shorter item. Null and
     empty texts have no words; an empty benchmark hits nothing; repeated rows and items are answered alike.
     """
-    found = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+    found = automata(benchmark, window)
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_reports(found), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", F.col("n_items") >= min_items)
 
 
-def _cleaner(found: object, at: int, coverage: float) -> Callable:
+def _cleaner(found: list[SuffixAutomaton], at: int, coverage: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = batch.column(at).to_pylist(), []
-            for i, (n, spans, hit, _) in enumerate(scan(texts, found.value)):
+            for i, (n, spans, hit, _) in enumerate(scan(texts, found)):
                 keep.append(not hit or hit < coverage * n)
                 if hit and keep[-1]:
                     raw, last, parts = texts[i].encode("utf-8", "surrogatepass"), 0, []
@@ -208,7 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     All columns come back; only text changes, and only where there was a span. Null texts stay.
     """
-    found = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+    found = automata(benchmark, window)
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
     return docs.mapInArrow(_cleaner(found, docs.columns.index("text"), coverage), schema)

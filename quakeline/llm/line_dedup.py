@@ -125,10 +125,8 @@ def one_gap(a: Column, b: Column) -> Column:
 def differing(a: str, b: str) -> tuple[list[Column], list[Column], Column, Column]:
     """Columns in three steps that cut the common beginning and end off columns a and b: lengths, then the rests.
 
-    The distance of the rests is that of the lines. Each rest gets LIMIT equal characters at its end, so that it is
-    never too short for the band.
+    The distance of the rests is that of the lines.
     """
-    pad = F.lit("\x00" * LIMIT)
     front = _common(F.col(a), F.col(b)).alias("_front")
     rest = [F.reverse(F.substring(F.col(c), F.col("_front") + 1, F.length(c))).alias(f"_r{c}") for c in (a, b)]
     back = _common(F.col(f"_r{a}"), F.col(f"_r{b}"))

@@ -218,9 +218,8 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _scorer(shared: object, at: int, lang: int | None) -> Callable:
+def _scorer(model: Model, at: int, lang: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             score = scores(model, batch.column(at).to_pylist())
             if lang is None:
@@ -234,12 +233,10 @@ def _scorer(shared: object, at: int, lang: int | None) -> Callable:
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, score, predicted. Null texts count as empty; rows may repeat."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(shared, 1, None), "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(model, 1, None), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs (text, lang and any others) whose score is below the threshold of their language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scorer(shared, docs.columns.index("text"), docs.columns.index("lang")), docs.schema)
+    return docs.mapInArrow(_scorer(model, docs.columns.index("text"), docs.columns.index("lang")), docs.schema)
