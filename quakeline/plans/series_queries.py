@@ -47,9 +47,9 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.day_stats(B.coverage(spark, sf_dir))
 
 
-@query("WITH " + B.COVERAGE_SQL + " SELECT key, day, matched, CAST(norm AS BIGINT) AS norm, round(tone, 4) AS tone FROM coverage")
+@query("WITH " + B.COVERAGE_SQL + " SELECT key, day, matched, CAST(norm AS BIGINT) AS norm, round(tone, 12) AS tone FROM coverage")
 def q_coverage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.coverage(spark, sf_dir).select("key", "day", "matched", "norm", F.round("tone", 4).alias("tone"))
+    return B.coverage(spark, sf_dir).select("key", "day", "matched", "norm", F.round("tone", 12).alias("tone"))
 
 
 @query("WITH " + B.COVERAGE_SQL + " SELECT key, count(DISTINCT day) AS n_days, min(day) AS first, max(day) AS last FROM coverage GROUP BY key")

@@ -1,4 +1,92 @@
-"""Document and text queries."""
+"""Document, event and text queries over the bound tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quakeline.operators import documents as D
+from quakeline.sources import binding as B
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def register(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("SELECT event_type AS kind, count(*) AS jobs, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS tokens FROM events GROUP BY event_type")
+def q_json_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("jobs"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("tokens"))
+
+
+@query("SELECT event_type AS key, date_trunc('hour', ts) AS start, count(*) AS matched FROM events GROUP BY ALL")
+def q_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.read(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("key"), F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("matched")).select("key", F.col("w.start").alias("start"), "matched")
+
+
+@query("""SELECT user_id, count(*) AS sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+  SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY ALL) GROUP BY user_id""")
+def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.read(spark, sf_dir, "events").groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return e.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("SELECT page_id AS doc_id, rtrim(regexp_extract('Seen at (' || url || ').', 'https?://[^\\s)\\]>`''\"]+'), '.,;:') AS cited FROM pages WHERE regexp_matches(url, '^https?://.')")
+def q_citation_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("Seen at ("), "url", F.lit(").")).alias("text"))
+    return D.citations(docs).filter("kind = 'url'").select("doc_id", "cited")
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(%|percent|per cent)') AS has_share, length(text) AS size FROM documents")
+def q_share_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"(?i)(\d+(?:\.\d+)?)\s*(%|percent|per cent)").alias("has_share"), F.length("text").cast("bigint").alias("size"))
+
+
+@query()
+def q_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "pages").select("page_id", D.plain_text(F.col("html")).alias("text"))
+
+
+@query()
+def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.read(spark, sf_dir, "documents").select("doc_id", "text", F.lit("10-K").alias("form"))
+    return D.sections(docs)
+
+
+@query()
+def q_quote_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.read(spark, sf_dir, "documents").withColumn("quote", F.upper(F.substring("text", 20, 60)))
+    return docs.select("doc_id", D.locate_quote("text", "quote").alias("at")).select("doc_id", "at.start", "at.end")
+
+
+@query("SELECT s_suppkey AS id, s_name AS label, CASE WHEN lower(s_name) = 'supplier#000000001' THEN 1.0 ELSE 0.6 + 0.4 * length('00001') / length(s_name) END AS score FROM supplier WHERE contains(lower(s_name), '00001')")
+def q_search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = B.read(spark, sf_dir, "supplier").filter(F.contains(F.lower("s_name"), F.lit("00001")))
+    score = F.when(F.lower("s_name") == "supplier#000000001", 1.0).otherwise(0.6 + 0.4 * F.length(F.lit("00001")) / F.length("s_name"))
+    return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), score.alias("score"))
+
+
+@query()
+def q_search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = B.read(spark, sf_dir, "supplier")
+    return D.search(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.col("s_name").alias("name")), "suplier 00012", 10)
+
+
+@query("SELECT n_name AS mention, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM nation")
+def q_region_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "nation").select(F.col("n_name").alias("mention"), F.regexp_replace(D.region_id(F.col("n_name"), F.col("n_name")), "^region/", "").alias("slug"))
+
+
+@query("SELECT l_returnflag AS source, count(*) AS items, count(*) FILTER (WHERE l_linestatus = 'O') AS verified, round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END), 6) AS share FROM lineitem GROUP BY l_returnflag")
+def q_verification_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = B.read(spark, sf_dir, "lineitem").withColumn("correct", F.col("l_linestatus") == "O")
+    return D.precision(line, "l_returnflag").join(line.groupBy("l_returnflag").agg(F.count(F.when(F.col("correct"), 1)).alias("verified")), "l_returnflag").select(F.col("l_returnflag").alias("source"), F.col("n").alias("items"), "verified", F.round("precision", 6).alias("share"))
