@@ -29,7 +29,7 @@ BROADCAST_PAIRS = 2_000_000
 
 def trimmed(line: Column) -> Column:
     """A line without ASCII white space at its ends; two lines count as equal if these are."""
-    return F.regexp_replace(line, r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$", "")
+    return F.btrim(line, F.lit(" \t\x0b\f\r"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -50,14 +50,15 @@ def _key(length: Column, i: int, text: Column) -> Column:
     return F.xxhash64(length.cast("int"), F.lit(i), text)
 
 
-def index_keys(line: Column, limit: int = LIMIT) -> Column:
-    n = F.length(line)
+def index_keys(line: Column, limit: int = LIMIT, n: Column | None = None) -> Column:
+    """Keys of the line's own segments; n is its length, if a column has it."""
+    n = F.length(line) if n is None else n
     return F.array(*(_key(n, i, F.substring(line, p + 1, m)) for i, (p, m) in enumerate(_segments(n, limit))))
 
 
-def probe_keys(line: Column, limit: int = LIMIT) -> Column:
+def probe_keys(line: Column, limit: int = LIMIT, n: Column | None = None) -> Column:
     """Keys under which any line at most as long, within limit edits, has a segment in the index."""
-    n, keys = F.length(line), []
+    n, keys = F.length(line) if n is None else n, []
     for shorter in range(limit + 1):
         length = n - shorter
         for i, (p, m) in enumerate(_segments(length, limit)):
@@ -105,10 +106,13 @@ def within(a: Column, b: Column, limit: int = LIMIT) -> Column:
 
 def _common(a: Column, b: Column) -> Column:
     """Length of the longest common beginning, by halving steps."""
-    shorter = F.least(F.length(a), F.length(b))
-    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(shorter, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
-    same = lambda p, s: (p + s <= shorter) & (F.substring(a, p + 1, s) == F.substring(b, p + 1, s))
-    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(same(p, s), p + s).otherwise(p))
+
+    def search(x: Column, y: Column, n: Column) -> Column:
+        steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+        same = lambda p, s: (p + s <= n) & (F.substring(x, p + 1, s) == F.substring(y, p + 1, s))
+        return F.aggregate(steps, F.lit(0), lambda p, s: F.when(same(p, s), p + s).otherwise(p))
+
+    return _let(a, lambda x: _let(b, lambda y: _let(F.least(F.length(x), F.length(y)), lambda n: search(x, y, n))))
 
 
 def one_gap(a: Column, b: Column) -> Column:
@@ -133,15 +137,15 @@ def differing(a: str, b: str) -> tuple[list[Column], list[Column], Column, Colum
     return [front], rest, *(F.reverse(F.substring(F.col(f"_r{c}"), back + 1, F.length(f"_r{c}"))) for c in (a, b))
 
 
-#: Groups of letters whose counts bound the distance from below: an edit changes two of them by one at most.
-GROUPS = ("a", "e", "in", "or", "tl", "sdu", "hm", "cb ")
+#: Letters whose counts bound the distance from below: an edit changes two of them by one at most.
+GROUPS = ("a", "e", "i", "n", "o", "r", "s", "t")
 #: An index key of more lines than this is hot: its pairs are made on the condition that the counts fit.
 HOT = 8
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of each group, modulo 256, as the bytes of one number. Lines within the limit differ by few in each."""
-    counts = [(F.length(line) - F.length(F.translate(line, g, ""))) % 256 for g in GROUPS]
+    """Counts of each letter, modulo 256, as the bytes of one number. Lines within the limit differ by few in each."""
+    counts = [(F.length(line) - F.length(F.replace(line, F.lit(g), F.lit("")))) % 256 for g in GROUPS]
     out = counts[0].cast("long")
     for k, c in enumerate(counts[1:], 1):
         out = out.bitwiseOR(F.shiftleft(c.cast("long"), 8 * k))
@@ -162,7 +166,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(lines: DataFrame, name: str, keys: Callable, limit: int, *more: str) -> DataFrame:
-    return lines.select(F.col("id").alias(name), F.explode(keys(F.col("line"), limit)).alias("key"), *(F.col(c).alias(f"{c}_{name}") for c in more))
+    sized = lines.select(F.col("id").alias(name), "line", F.length("line").alias("n"))
+    return sized.select(name, keys(F.col("line"), limit, F.col("n")).alias("keys"), *more).select(name, F.explode("keys").alias("key"), *more)
 
 
 def meeting(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -171,8 +176,8 @@ def meeting(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
     cold = index.filter(F.col("n") <= HOT).join(_keyed(lines, "b", probe_keys, limit), "key").filter("a <> b").select("a", "b")
     hot = stored(index.filter(F.col("n") > HOT).groupBy("key").agg(F.count("*").alias("n")).select("key"))
     few = F.broadcast(hot) if hot.count() <= BROADCAST_PAIRS else hot
-    counted = lines.withColumn("c", letter_counts(F.col("line")))
-    sides = [_keyed(counted, s, k, limit, "c").join(few, "key", "left_semi") for s, k in (("a", index_keys), ("b", probe_keys))]
+    # only lines with a hot key are counted; each side is cut off so that the counts are not worked out again in the join
+    sides = [stored(_keyed(lines, s, k, limit, "line").join(few, "key", "left_semi").select("key", s, letter_counts(F.col("line")).alias(f"c_{s}"))) for s, k in (("a", index_keys), ("b", probe_keys))]
     warm = sides[0].join(sides[1], "key").filter((F.col("a") != F.col("b")) & counts_fit(F.col("c_a"), F.col("c_b"), limit)).select("a", "b")
     return stored(cold.union(warm).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
@@ -185,12 +190,15 @@ def near_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
     texts = stored(lines.join(ids, "id", "left_semi").select("id", "line", letter_counts(F.col("line")).alias("c")), "zstd")
     a, b = (texts.select(F.col("id").alias(k), F.col("line").alias(f"l{k}"), F.col("c").alias(f"c{k}")) for k in "ab")
     both = met.join(a, "a").join(b, "b").filter(counts_fit(F.col("ca"), F.col("cb"), limit))
+    # few bytes but much work: spread over all tasks, and stored between the steps, so that no step is worked out twice
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.select("a", "b", "la", "lb").repartition(tasks)
     front, rests, ma, mb = differing("la", "lb")
-    both = both.select("*", *front).select("*", *rests).select("a", "b", ma.alias("ma"), mb.alias("mb"))
+    both = stored(both.select("*", *front).select("*", *rests).select("a", "b", ma.alias("ma"), mb.alias("mb")))
     if limit == 2:
-        both = both.filter(one_gap(F.col("ma"), F.col("mb")))
+        both = stored(both.filter(one_gap(F.col("ma"), F.col("mb"))))
     pad = F.lit("\x00" * limit)  # equal ends, so that no rest is too short for the band
-    return stored(both.filter(within(F.concat("ma", pad), F.concat("mb", pad), limit)).select("a", "b"))
+    return stored(both.repartition(tasks).filter(within(F.concat("ma", pad), F.concat("mb", pad), limit)).select("a", "b"))
 
 
 def repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:

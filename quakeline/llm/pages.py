@@ -12,16 +12,21 @@ import hashlib
 import html
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quakeline.llm.common import stored
 from quakeline.llm.urls import host_of
 
 #: A subtree is template if it recurs on this many pages of its host and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: Templates of this many hashes together (8 bytes each) are broadcast to the pages; more are joined by a shuffle.
+BROADCAST_HASHES = 2_000_000
+#: Pages that a worker reads at a time.
+TOGETHER = 64
 
 # Elements of HTML by what a reader of text needs to know of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,10 +52,10 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("children", "marks", "named", "parent", "tag")
+    __slots__ = ("children", "marks", "named", "tag")
 
-    def __init__(self, tag: str, named: str, marks: frozenset[str], parent: Node | None) -> None:
-        self.tag, self.named, self.marks, self.parent = tag, named, marks, parent
+    def __init__(self, tag: str, named: str = "", marks: frozenset[str] = frozenset()) -> None:
+        self.tag, self.named, self.marks = tag, named, marks  # no way up: a tree without cycles is freed at once
         self.children: list = []
 
 
@@ -71,50 +76,51 @@ def _naming(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
 
 def parse(page: str) -> Node:
     """Tree of elements and text of any markup, however broken: unclosed elements end with their parent."""
-    root = node = Node("#root", "", frozenset(), None)
+    root = Node("#root")
+    open_ = [root]
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
-            node.children.append(page[at:])
+            open_[-1].children.append(page[at:])
             break
         if m.start() > at:
-            node.children.append(page[at : m.start()])
+            open_[-1].children.append(page[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             continue
         tag = name.lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i].tag == tag:
+                    del open_[i:]
+                    break
             continue
         if tag in ENDS_P:
-            node = _ended(node, root, {"p"}, FENCES["p"])
+            _end(open_, {"p"}, FENCES["p"])
         if tag in CLOSES:
-            node = _ended(node, root, CLOSES[tag], FENCES.get(tag, set()))
+            _end(open_, CLOSES[tag], FENCES.get(tag, set()))
         attributes = m[3] or ""
-        new = Node(tag, *_naming(tag, attributes), node)
-        node.children.append(new)
+        new = Node(tag, *_naming(tag, attributes))
+        open_[-1].children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             new.children.append(page[at : close.start() if close else end])
             at = close.end() if close else end
         elif tag not in VOID and not attributes.endswith("/"):
-            node = new
+            open_.append(new)
     return root
 
 
-def _ended(node: Node, root: Node, tags: set[str], fences: set[str] | frozenset[str]) -> Node:
-    up = node
-    while up is not root and up.tag not in fences:
-        if up.tag in tags:
-            return up.parent
-        up = up.parent
-    return node
+def _end(open_: list[Node], tags: set[str], fences: set[str] | frozenset[str]) -> None:
+    """Close the innermost of the open elements that has one of the tags, unless a fence stands before it."""
+    for i in range(len(open_) - 1, 0, -1):
+        if open_[i].tag in fences:
+            return
+        if open_[i].tag in tags:
+            del open_[i:]
+            return
 
 
 def subtree_hashes(root: Node) -> dict[int, Node]:
@@ -208,23 +214,20 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: Counter = Counter()
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if host and page:
-                counts.update((host, h) for h in subtree_hashes(parse(page)))
-        yield pa.record_batch([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "subtree", "n"])
+        for lo in range(0, batch.num_rows, TOGETHER):
+            part, counts = batch.slice(lo, TOGETHER), Counter()
+            for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if page:
+                    counts.update((host, h) for h in subtree_hashes(parse(page)))
+            yield pa.record_batch([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "subtree", "n"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets: dict = {}
-        texts = []
-        templates = batch.column(3)
-        for i, page in enumerate(batch.column(2).to_pylist()):
-            own = templates[i].as_py() if templates[i].is_valid else ()
-            key = tuple(own)
-            texts.append(main_text(page, sets.setdefault(key, frozenset(own))))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for lo in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(lo, TOGETHER)
+            texts = [main_text(page, frozenset(own or ())) for page, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -242,7 +245,9 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars. Pages without a host have no template."""
-    templates = site_templates(pages)
+    templates = stored(site_templates(pages))
+    size = templates.agg(F.coalesce(F.sum(F.size("template") + 8), F.lit(0))).first()[0]
+    templates = F.broadcast(templates) if size <= BROADCAST_HASHES else templates
     rows = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("host"))
     rows = rows.join(templates, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "template")
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

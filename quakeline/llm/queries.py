@@ -66,8 +66,8 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 
 ORACLE_SQL: dict[str, str] = {
     "op9_decontamination": rf"""
-WITH b AS (SELECT item_id, list_filter(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
-d AS (SELECT doc_id, coalesce(list_filter(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> ''), []) AS w FROM documents),
+WITH b AS (SELECT item_id, list_filter(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+d AS (SELECT doc_id, coalesce(list_filter(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), []) AS w FROM documents),
 items AS (SELECT item_id, w, least(len(w), 8) AS n FROM b WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
 sizes AS (SELECT DISTINCT n FROM windows),
@@ -80,7 +80,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op10_minhash": rf"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (
   SELECT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
   UNION ALL SELECT doc_id, array_to_string(w, ' ') || ' ' FROM d WHERE len(w) BETWEEN 1 AND 4)),
