@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,19 +85,21 @@ def precedence(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     fields = T.StructType([*rows.schema, T.StructField("rank_in_key", T.IntegerType())])
 
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows_of_key in batches:
-            left = rows_of_key.assign(_class=(~rows_of_key.trusted).astype(int) * 2 + (rows_of_key.weight_source == "bucket"), _day=pd.to_datetime(rows_of_key.valid_from))
-            out = []
-            while len(left):
-                best = left[left._class == left._class.min()]
-                best = best[(best._day.max() - best._day).dt.days <= SAME_PERIOD_DAYS]
-                first = best.sort_values(["source_order", "_day", "row_id"], ascending=[True, False, False]).iloc[[0]]
-                out.append(first.assign(rank_in_key=len(out) + 1))
-                left = left.drop(first.index)
-            yield pd.concat(out)[[f.name for f in fields]]
-
-    return rows.groupBy(*keys).applyInPandas(lambda pdf: next(rank(iter([pdf]))), fields)
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        days = pd.to_datetime(pdf.valid_from)
+        numbers = ((days - days.min()).dt.days).tolist()
+        classes = [2 * (not t) + (w == "bucket") for t, w in zip(pdf.trusted, pdf.weight_source, strict=True)]
+        left = sorted(range(len(pdf)), key=pdf.row_id.tolist().__getitem__, reverse=True)
+        sources, place = pdf.source_order.tolist(), [0] * len(pdf)
+        for n in range(1, len(pdf) + 1):
+            best = min(classes[i] for i in left)
+            newest = max(numbers[i] for i in left if classes[i] == best)
+            first = min((i for i in left if classes[i] == best and newest - numbers[i] <= SAME_PERIOD_DAYS), key=lambda i: (sources[i], -numbers[i]))
+            place[first] = n
+            left.remove(first)
+        return pdf.assign(rank_in_key=place)[[f.name for f in fields]]
+
+    return rows.groupBy(*keys).applyInPandas(rank, fields)
 
 
 def snapshot(edges: DataFrame, as_of: str, known: str | None = None) -> DataFrame:

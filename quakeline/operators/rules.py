@@ -114,6 +114,19 @@ def share_sums(on: DataFrame) -> DataFrame:
     return out
 
 
+def share_sweep(edges: DataFrame, rel: str, node: str) -> DataFrame:
+    """node, day: the first day on which the shares of a single source's edges add up to more than one.
+
+    Every edge adds its weight on valid_from and takes it away on valid_to, so a running sum over the days on which
+    anything changes finds it; no day is joined with the edges that are valid on it.
+    """
+    own = edges.filter(F.col("rel") == rel)
+    steps = own.select(F.col(node).alias("node"), F.explode(F.array(F.struct(F.col("valid_from").alias("day"), F.col("weight").alias("w"), F.lit(1).alias("s")), F.struct(F.col("valid_to").alias("day"), (-F.col("weight")).alias("w"), F.lit(0).alias("s")))).alias("x"))
+    days = steps.filter("x.day is not null").groupBy("node", F.col("x.day").alias("day")).agg(F.sum("x.w").alias("w"), F.max("x.s").alias("starts"))
+    running = days.withColumn("total", F.sum("w").over(W.partitionBy("node").orderBy("day")))
+    return running.filter((F.col("starts") == 1) & (F.col("total") > SHARE_LIMIT)).groupBy("node").agg(F.min("day").alias("day"))
+
+
 def e10(nodes: DataFrame, on: DataFrame) -> DataFrame:
     """A volume theme drives a node that it also reaches from another target by one REQUIRES step or more, on that day."""
     volume = nodes.filter("kind = 'volume'").select(F.col("id").alias("src"))

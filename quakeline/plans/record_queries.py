@@ -69,8 +69,7 @@ def q_snapshot_known_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts(spark, sf_dir).filter("src in ('company/1', 'company/2', 'company/3')")
-    return T.precedence(rows, ["src", "rel", "dst"]).select("src", "dst", "row_id", "rank_in_key")
+    return T.precedence(facts(spark, sf_dir), ["src", "rel", "dst"]).select("src", "dst", "row_id", "rank_in_key")
 
 
 @query("""SELECT count(*) FILTER (WHERE n.c_custkey IS NOT NULL AND h2 IS DISTINCT FROM h1) AS inserted, count(*) FILTER (WHERE o.c_custkey IS NOT NULL AND h2 IS DISTINCT FROM h1) AS superseded, count(*) FILTER (WHERE h1 = h2) AS unchanged
@@ -82,14 +81,11 @@ def q_scd2_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.version_diff(old, new, "c_custkey").agg(*(F.count(F.when(F.col(x), 1)).alias(x) for x in ("inserted", "superseded", "unchanged")))
 
 
-@query(""", w AS (SELECT src, min(day) AS day, round(arg_min(total, day), 6) AS total FROM (SELECT f.src, d.day, sum(weight) AS total FROM (SELECT DISTINCT valid_from AS day FROM facts WHERE valid_from < DATE '1995-04-01') d JOIN (SELECT * FROM facts WHERE valid_from < DATE '1995-04-01' AND source_order = 0) f
-  ON f.valid_from <= d.day AND (f.valid_to IS NULL OR f.valid_to > d.day) GROUP BY ALL HAVING sum(weight) > 1 + 1e-9) GROUP BY src) SELECT src AS record, day FROM w""")
+@query(""", steps AS (SELECT src, valid_from AS day, weight AS w, 1 AS s FROM facts UNION ALL SELECT src, valid_to, -weight, 0 FROM facts WHERE valid_to IS NOT NULL),
+days AS (SELECT src, day, sum(w) AS w, max(s) AS s FROM steps GROUP BY ALL), running AS (SELECT *, sum(w) OVER (PARTITION BY src ORDER BY day) AS total FROM days)
+SELECT src AS record, min(day) AS day FROM running WHERE s = 1 AND total > 1 + 1e-9 GROUP BY src""")
 def q_rule_share_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts(spark, sf_dir).filter("valid_from < date'1995-04-01' and source_order = 0")
-    days = facts(spark, sf_dir).filter("valid_from < date'1995-04-01'").select(F.col("valid_from").alias("day")).distinct()
-    on = own.join(F.broadcast(days), (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("day"))))
-    sums = on.groupBy("day", "src").agg(F.sum("weight").alias("total")).filter(F.col("total") > R.SHARE_LIMIT)
-    return sums.groupBy(F.col("src").alias("record")).agg(F.min("day").alias("day"))
+    return R.share_sweep(facts(spark, sf_dir), "PRODUCES", "src").select(F.col("node").alias("record"), "day")
 
 
 @query("SELECT DISTINCT b.src || ' PRODUCES ' || b.dst AS record FROM facts a JOIN facts b ON a.src = b.src AND a.dst = b.dst AND a.source = b.source AND a.row_id < b.row_id AND a.valid_from < coalesce(b.valid_to, DATE '9999-12-31') AND b.valid_from < coalesce(a.valid_to, DATE '9999-12-31')")
