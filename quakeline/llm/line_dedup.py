@@ -138,25 +138,29 @@ def differing(a: str, b: str) -> tuple[list[Column], list[Column], Column, Colum
 
 
 #: Letters whose counts bound the distance from below: an edit changes two of them by one at most.
-GROUPS = ("a", "e", "i", "n", "o", "r", "s", "t")
+GROUPS = ("eatoinsr", "hldcuf .")
 #: An index key of more lines than this is hot: its pairs are made on the condition that the counts fit.
 HOT = 8
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of each letter, modulo 256, as the bytes of one number. Lines within the limit differ by few in each."""
-    counts = [(F.length(line) - F.length(F.replace(line, F.lit(g), F.lit("")))) % 256 for g in GROUPS]
-    out = counts[0].cast("long")
-    for k, c in enumerate(counts[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(c.cast("long"), 8 * k))
-    return out
+    """Counts of each letter, modulo 256, as the bytes of two numbers. Lines within the limit differ by few in each."""
+    count = lambda g: (F.length(line) - F.length(F.replace(line, F.lit(g), F.lit("")))) % 256
+    packed = []
+    for letters in GROUPS:
+        out = F.lit(0).cast("long")
+        for k, g in enumerate(letters):
+            out = out.bitwiseOR(F.shiftleft(count(g).cast("long"), 8 * k))
+        packed.append(out)
+    return F.struct(*(x.alias(f"c{k}") for k, x in enumerate(packed)))
 
 
 def counts_fit(a: Column, b: Column, limit: int = LIMIT) -> Column:
     """False only for lines further apart than limit."""
     byte = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
-    apart = lambda k: F.abs(F.pmod(byte(a, k) - byte(b, k) + 128, F.lit(256)) - 128)
-    return sum((apart(k) for k in range(1, len(GROUPS))), apart(0)) <= 2 * limit
+    apart = lambda w, k: F.abs(F.pmod(byte(a[f"c{w}"], k) - byte(b[f"c{w}"], k) + 128, F.lit(256)) - 128)
+    parts = [apart(w, k) for w, letters in enumerate(GROUPS) for k in range(len(letters))]
+    return sum(parts[1:], parts[0]) <= 2 * limit
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -173,12 +177,17 @@ def _keyed(lines: DataFrame, name: str, keys: Callable, limit: int, *more: str)
 def meeting(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Pairs (a, b) of ids that meet in the index: all of keys with few lines, and of hot keys those whose counts fit."""
     index = _keyed(lines, "a", index_keys, limit).withColumn("n", F.count("*").over(W.partitionBy("key")))
-    cold = index.filter(F.col("n") <= HOT).join(_keyed(lines, "b", probe_keys, limit), "key").filter("a <> b").select("a", "b")
-    hot = stored(index.filter(F.col("n") > HOT).groupBy("key").agg(F.count("*").alias("n")).select("key"))
-    few = F.broadcast(hot) if hot.count() <= BROADCAST_PAIRS else hot
-    # only lines with a hot key are counted; each side is cut off so that the counts are not worked out again in the join
-    sides = [stored(_keyed(lines, s, k, limit, "line").join(few, "key", "left_semi").select("key", s, letter_counts(F.col("line")).alias(f"c_{s}"))) for s, k in (("a", index_keys), ("b", probe_keys))]
-    warm = sides[0].join(sides[1], "key").filter((F.col("a") != F.col("b")) & counts_fit(F.col("c_a"), F.col("c_b"), limit)).select("a", "b")
+    probes = _keyed(lines, "b", probe_keys, limit)
+    # the index is the side to hash: a key has HOT rows there at most, and the many probes need no sort
+    cold = index.filter(F.col("n") <= HOT).select("key", "a").hint("shuffle_hash").join(probes, "key").filter("a <> b").select("a", "b")
+    hot_a = stored(index.filter(F.col("n") > HOT).select("key", "a"))
+    few = hot_a.select("key").distinct()
+    hot_b = stored(probes.join(F.broadcast(few) if hot_a.count() <= BROADCAST_PAIRS else few, "key", "left_semi"))
+    ids = hot_a.select(F.col("a").alias("id")).union(hot_b.select(F.col("b").alias("id"))).distinct()
+    ids = F.broadcast(ids) if hot_b.count() <= BROADCAST_PAIRS else ids
+    counted = stored(lines.join(ids, "id", "left_semi").select("id", letter_counts(F.col("line")).alias("c")))
+    a, b = (x.join(counted.withColumnsRenamed({"id": n, "c": f"c_{n}"}), n) for x, n in ((hot_a, "a"), (hot_b, "b")))
+    warm = a.join(b, "key").filter((F.col("a") != F.col("b")) & counts_fit(F.col("c_a"), F.col("c_b"), limit)).select("a", "b")
     return stored(cold.union(warm).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
