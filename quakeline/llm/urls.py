@@ -31,7 +31,7 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Column]:
@@ -99,8 +99,9 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     # one row per hundredth of the score: a table of bounded size
     below = W.orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
     kept = F.coalesce(F.sum("bad").over(below), F.lit(0)) / F.col("all_bad") - F.coalesce(F.sum("good").over(below), F.lit(0)) / F.col("all_good")
-    best = known.crossJoin(F.broadcast(every)).filter("all_good > 0 and all_bad > 0").withColumn("gain", kept).orderBy(F.desc("gain"), "cut").limit(1).collect()
-    cut = best[0]["cut"] - 0.005 if best else float("-inf")
+    best = known.crossJoin(F.broadcast(every)).filter("all_good > 0 and all_bad > 0").withColumns({"gain": kept, "before": F.lag("cut").over(W.orderBy("cut"))}).orderBy(F.desc("gain"), "cut").limit(1).collect()
+    # in the middle of the gap between the scores on either side
+    cut = float("-inf") if not best else best[0]["cut"] - 0.005 if best[0]["before"] is None else (best[0]["cut"] + best[0]["before"]) / 2
     score = F.coalesce("score", F.lit(0.0))
     out = split.join(scores, "text", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("says", F.when(score >= cut, "allow").otherwise("block")).alias("verdict"), F.when(F.col("rule").isNull(), score).alias("score"))
