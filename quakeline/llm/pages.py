@@ -123,9 +123,10 @@ def _end(open_: list[Node], tags: set[str], fences: set[str] | frozenset[str]) -
             return
 
 
-def subtree_hashes(root: Node) -> dict[int, Node]:
-    """Hash of every element subtree that holds text, and an element that has it. Iterative: pages nest deeply."""
-    found: dict[int, Node] = {}
+def subtree_hashes(root: Node) -> dict[int, list[Node]]:
+    """Hash of every block's subtree that holds text, and the elements that have it; marked-up words are no template.
+    Iterative: pages nest deeply."""
+    found: dict[int, list[Node]] = {}
     content: dict[int, bytes] = {}
     stack = [(root, False)]
     while stack:
@@ -146,7 +147,8 @@ def subtree_hashes(root: Node) -> dict[int, Node]:
         if has and node.tag != "#root":
             digest = hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
             content[id(node)] = digest
-            found[int.from_bytes(digest, "little", signed=True)] = node
+            if node.tag in BLOCK:
+                found.setdefault(int.from_bytes(digest, "little", signed=True), []).append(node)
     return found
 
 
@@ -190,9 +192,9 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     root = parse(page)
     cut = set()
     if template:
-        for h, node in subtree_hashes(root).items():
+        for h, nodes in subtree_hashes(root).items():
             if h in template:
-                cut.add(id(node))
+                cut.update(map(id, nodes))
     articles, mains, stack = [], [], [(root, False)]
     while stack:
         node, within = stack.pop()
