@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quakeline.functions.scalars import day_number, poisson_surprise
+from quakeline.operators.scratch import stored
 
 # Fixed values of the method.
 BACK, GAP, LEAST_DAYS = 90, 3, 30
@@ -41,7 +42,8 @@ def day_stats(coverage: DataFrame) -> DataFrame:
     x = x.withColumn("surprise", poisson_surprise(F.col("matched"), F.col("expected")) / F.col("dispersion"))
     z = F.when(F.coalesce(F.col("ls_s"), F.lit(0.0)) > 0, (F.col("log_share") - F.col("ls_m")) / F.col("ls_s")).otherwise(0.0)
     tone_z = F.when(F.col("tone").isNull() | (F.col("tones") < 2), None).when(F.col("tone_s") > 0, (F.col("tone") - F.col("tone_m")) / F.col("tone_s"))
-    return x.select("key", "day", "matched", "norm", "tone", "rows", "expected", "ratio", "dispersion", "surprise", z.alias("z"), tone_z.alias("tone_z"))
+    x = x.select("key", "day", "matched", "norm", "tone", "rows", "expected", "ratio", "dispersion", "surprise", z.alias("z"), tone_z.alias("tone_z"))
+    return stored(x)  # once for all that is asked of it: a filter on surprise would otherwise be pushed below and repeat its sums
 
 
 def runs(stats: DataFrame, threshold: Column | float = THRESHOLD, *keys: str, least: int = LEAST_MATCHED) -> DataFrame:
