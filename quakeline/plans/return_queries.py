@@ -51,9 +51,9 @@ def q_calendar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir)
 
 
-@query("SELECT listing, day, round(value, 3) AS usd FROM priced")
+@query("SELECT listing, day, round(ln(value), 8) + 0.0 AS log_usd FROM priced")
 def q_fx_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _priced(spark, sf_dir).select("listing", "day", F.round("usd", 3).alias("usd"))
+    return _priced(spark, sf_dir).select("listing", "day", (F.round(F.log("usd"), 8) + 0.0).alias("log_usd"))
 
 
 @query("SELECT event, listing, entry_day, exit_day FROM legs")

@@ -119,5 +119,5 @@ PRICES_SQL = """
 prices AS (SELECT listing, day, close, close * (1 - d) AS adj_close, CASE ascii(right(listing, 1)) % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'JPY' ELSE 'EUR' END AS currency FROM (
   SELECT p_brand AS listing, CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice / l_quantity) AS close, avg(l_discount) AS d FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)),
 rates AS (SELECT currency, day, CASE currency WHEN 'JPY' THEN 0.008 + wave / 100000 ELSE 1.05 + wave / 1000 END AS rate FROM (SELECT DISTINCT day, CAST((day - DATE '1970-01-01') % 97 AS DOUBLE) AS wave FROM prices WHERE dayofweek(day) > 0), (VALUES ('JPY'), ('EUR')) c(currency)),
-usd AS (SELECT p.*, CASE WHEN currency = 'USD' THEN 1.0 ELSE (SELECT r.rate FROM rates r WHERE r.currency = p.currency AND r.day BETWEEN p.day - 5 AND p.day ORDER BY r.day DESC LIMIT 1) END AS fx FROM prices p)
+usd AS (SELECT p.*, CASE WHEN p.currency = 'USD' THEN 1.0 WHEN p.day - r.day <= 5 THEN r.rate END AS fx FROM prices p ASOF LEFT JOIN rates r ON p.currency = r.currency AND p.day >= r.day)
 """
