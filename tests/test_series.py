@@ -37,9 +37,9 @@ def test_a_single_spike_surprises(stats):
     assert stats.filter("key = 'silent'").agg({"expected": "min"}).first()[0] >= 0.5
 
 
-def test_calibration_falls(stats):
-    rates = [r.rate for r in S.calibration(stats, [0.5, 1.75, 50.0]).orderBy("threshold").collect()]
-    assert rates == sorted(rates, reverse=True)
+def test_calibration_counts_bursts_without_the_split(stats):
+    curve = {r.threshold: r.bursts for r in S.calibration(stats, [0.5, 1.75, 50.0]).collect()}
+    assert curve == {t: S.burst_runs(stats, t).count() for t in curve}
 
 
 def test_midrank(spark):
