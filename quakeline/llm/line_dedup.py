@@ -8,6 +8,10 @@ bit-parallel edit distance: the 2 * LIMIT + 1 cells of a column are the bits of
 
 A segment that many lines share is a hot key. Its pairs are made on a condition on letter counts, which no pair
 within the limit fails, so that a group of lines with the same beginning makes few pairs, and no group is gathered.
+
+Long lines may differ by words too, one in SHARE of the shorter line's. An edit of a word spoils SHINGLE runs of SHINGLE
+words at most, so of two such lines the SHINGLE * limit + 1 runs with the least hashes have one in common, at a place
+that moves by no more than the limit. Pairs that meet are verified by the distance of their words.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ from quakeline.llm.common import stored
 LIMIT = 2
 #: Shorter lines (in characters, without outer white space) are left alone.
 LEAST = 30
+#: A line of at least SHARE words repeats an earlier one within words // SHARE edits of whole words, words being those of the shorter line.
+SHARE = 20
+#: Words in a row that are hashed together.
+SHINGLE = 3
 #: Pairs that met up to this number have their ids broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 
@@ -210,13 +218,55 @@ def near_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
     return stored(both.repartition(tasks).filter(within(F.concat("ma", pad), F.concat("mb", pad), limit)).select("a", "b"))
 
 
+def _allowed(words: Column) -> Column:
+    return F.floor(words / SHARE).cast("int")
+
+
+def _words(lines: DataFrame) -> DataFrame:
+    """id, w, m: the words of each line that has SHARE of them, and their number."""
+    each = lines.select("id", F.split("line", r"\s+").alias("w")).withColumn("m", F.size("w"))
+    return each.filter(F.col("m") >= SHARE)
+
+
+def word_codes(words: Column) -> Column:
+    """Each word as one character, one of 786,432, so that a distance of strings is one of words."""
+    six = lambda h, k: F.shiftright(h, k).bitwiseAND(F.lit(63))
+    code = lambda h: F.lit(0xF1808080).cast("long") + F.pmod(F.shiftright(h, 20), F.lit(3)) * (1 << 24) + six(h, 12) * (1 << 16) + six(h, 6) * (1 << 8) + six(h, 0)
+    return F.unhex(F.array_join(F.transform(words, lambda w: _let(F.xxhash64(w), lambda h: F.hex(code(h)))), "")).cast("string")
+
+
+def near_by_words(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids, a < b, of distinct lines within the limit of words, each once. lines: id, line. Stored."""
+
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
+
+    def chosen(h: Column) -> Column:
+        last = lambda s: F.get(s, F.least(SHINGLE * _allowed(F.size(h) + SHINGLE - 1), F.size(s) - 1))
+        placed = F.transform(h, lambda x, i: F.struct(i.alias("p"), x.alias("key")))
+        return _let(_let(F.sort_array(F.array_distinct(h)), last), lambda top: F.filter(placed, lambda e: e["key"] <= top))
+
+    # chosen before they are exploded, each step once a line
+    keys = stored(_words(lines).select("id", "m", F.explode(_let(F.col("w"), lambda w: _let(runs(w), chosen))).alias("k")).select("id", "m", "k.p", "k.key"))
+    a, b = (keys.withColumnsRenamed({"id": x, "m": f"m{x}", "p": f"p{x}"}) for x in "ab")
+    most = _allowed(F.least("ma", "mb"))
+    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.abs(F.col("ma") - F.col("mb")) <= most) & (F.abs(F.col("pa") - F.col("pb")) <= most))
+    met = stored(met.select("a", "b", most.alias("most")).distinct())
+    ids = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
+    ids = F.broadcast(ids) if met.count() <= BROADCAST_PAIRS else ids
+    codes = stored(_words(lines.join(ids, "id", "left_semi")).select("id", word_codes(F.col("w")).alias("code")), "zstd")
+    both = met.join(codes.withColumnsRenamed({"id": "a", "code": "ca"}), "a").join(codes.withColumnsRenamed({"id": "b", "code": "cb"}), "b")
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(both.repartition(tasks).filter(F.expr("levenshtein(ca, cb, most) between 0 and most")).select("a", "b"))
+
+
 def repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, pos of every line that repeats an earlier one (equal or within limit edits), in order of doc_id and position.
+    """doc_id, pos of every line that repeats an earlier one, in order of doc_id and position: equal, within limit edits or within the limit of words.
 
     Rows that repeat a doc_id count as one document. Rows without doc_id or text and short lines take no part.
     """
     lines = distinct_lines(docs)
-    links = near_lines(lines, limit)
+    links = near_lines(lines, limit).union(near_by_words(lines))
     placed = lines.select("id", F.struct("doc_id", "pos").alias("place"))
     ends = links.join(placed.withColumnsRenamed({"id": "a", "place": "pa"}), "a").join(placed.withColumnsRenamed({"id": "b", "place": "pb"}), "b")
     later = ends.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()

@@ -159,6 +159,38 @@ def test_line_dedup(spark):
     assert 5 not in left and left[0] == texts[0] and left[3] is None and left[4] == ""
 
 
+def test_line_dedup_of_long_lines(spark):
+    """The limit grows with the length, by words; against brute force, at and past the limit, repetitive lines too."""
+    rng = random.Random(11)
+    line = lambda n, of: [f"word{rng.randrange(of)}" for _ in range(n)]
+    base = [line(n, of) for n in (20, 39, 40, 95, 240) for of in (3, 5000)]
+    rows = list(base)
+    for w in base:
+        for more in (-1, 0, 1):
+            v = list(w)
+            for _ in range(max(1, len(w) // 20 + more)):
+                k, at = rng.randrange(3), rng.randrange(len(v))
+                v[at : at + (k != 1)] = [] if k == 2 else [f"replacement{rng.randrange(9999)}"]
+            rows.append(v)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    short = [min(len(a), len(b)) for a, b in combinations(rows, 2)]
+    want = {(i, j) for (i, j), n in zip(combinations(range(len(rows)), 2), short, strict=True) if n >= 20 and distance(rows[i], rows[j]) <= n // 20}
+    lines = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "id long, line string")
+    assert {tuple(r) for r in line_dedup.near_by_words(lines).collect()} == want and len(want) > 10
+    paragraph = line(90, 5000)
+    other = " ".join([*paragraph[:50], "replacement", *paragraph[51:]])
+    got = {r.doc_id: list(r.dropped) for r in line_dedup.line_report(docs(spark, [" ".join(paragraph), "heading\n" + other])).collect()}
+    assert got == {0: [], 1: [1]}
+
+
 def test_edit_distance_and_index(spark):
     rng = random.Random(7)
     rows = []
