@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeline.llm.common import stored
@@ -23,6 +23,10 @@ from quakeline.llm.urls import host_of
 
 #: A subtree is template if it recurs on this many pages of its host and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: On large hosts this many times the square root of their pages is enough, if that is less than the share.
+ROOTS = 10
+#: Elements that hold a page's content; they, and what they stand in, are no template.
+CONTENT = frozenset("html body main article".split())
 #: Templates of this many hashes together (8 bytes each) are broadcast to the pages; more are joined by a shuffle.
 BROADCAST_HASHES = 2_000_000
 #: Pages that a worker reads at a time.
@@ -124,10 +128,11 @@ def _end(open_: list[Node], tags: set[str], fences: set[str] | frozenset[str]) -
 
 
 def subtree_hashes(root: Node) -> dict[int, list[Node]]:
-    """Hash of every block's subtree that holds text, and the elements that have it; marked-up words are no template.
-    Iterative: pages nest deeply."""
+    """Hash of every block's subtree that holds text, and the elements that have it; marked-up words are no template,
+    nor is what holds the content. Iterative: pages nest deeply."""
     found: dict[int, list[Node]] = {}
     content: dict[int, bytes] = {}
+    holds: set[int] = set()
     stack = [(root, False)]
     while stack:
         node, done = stack.pop()
@@ -136,6 +141,8 @@ def subtree_hashes(root: Node) -> dict[int, list[Node]]:
             stack.extend((c, False) for c in node.children if isinstance(c, Node) and c.tag not in RAW)
             continue
         parts, has = [f"<{node.tag} {node.named}>".encode()], False
+        if node.tag in CONTENT or any(id(c) in holds for c in node.children):
+            holds.add(id(node))
         for c in node.children:
             if isinstance(c, str):
                 if text := " ".join(c.split()):
@@ -147,7 +154,7 @@ def subtree_hashes(root: Node) -> dict[int, list[Node]]:
         if has and node.tag != "#root":
             digest = hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
             content[id(node)] = digest
-            if node.tag in BLOCK:
+            if node.tag in BLOCK and id(node) not in holds:
                 found.setdefault(int.from_bytes(digest, "little", signed=True), []).append(node)
     return found
 
@@ -185,7 +192,8 @@ def _text_parts(node: Node, cut: set[int], inside: bool) -> list[str]:
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """Text of the article: references decoded, white space and block ends as one space each; empty for null.
 
-    The article is the largest article element that is no comment or teaser, else main, else the body.
+    The article is the largest article element that is no comment or teaser, else main, else the body. A template that
+    would take more than half of an article or main, or all text of a page, is content that recurs, and stays.
     """
     if not page:
         return ""
@@ -206,12 +214,18 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
         if node.tag == "main":
             mains.append(node)
         stack.extend((c, within) for c in reversed(node.children) if isinstance(c, Node))
-    read = lambda n, inside: " ".join(html.unescape("".join(_text_parts(n, cut, inside))).split())
-    if articles:
-        return max((read(a, True) for a in articles), key=len)
-    if mains:
-        return max((read(a, True) for a in mains), key=len)
-    return read(root, False)
+    read = lambda n, inside, cut: " ".join(html.unescape("".join(_text_parts(n, cut, inside))).split())
+
+    def kept(n: Node) -> str:
+        text = read(n, True, cut)
+        whole = read(n, True, set()) if cut else text
+        return whole if 2 * len(text) < len(whole) else text
+
+    if articles or mains:
+        text = max(map(kept, articles or mains), key=len)
+    else:
+        text = read(root, False, cut)
+    return text or (main_text(page) if cut else "")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,16 +246,32 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _host() -> Column:
+    """The host, hashed; null for none."""
+    host = host_of(F.col("url"))
+    return F.when(host != "", F.xxhash64(host))
+
+
+def _once(named: DataFrame) -> DataFrame:
+    """host, html of each page content of a host; only what recurs is shuffled."""
+    keys = ["host", "h1", "h2"]
+    twice = stored(named.groupBy(*keys).count().filter("count > 1").select(*keys))
+    twice = F.broadcast(twice) if 3 * twice.count() <= BROADCAST_HASHES else twice
+    again = named.join(twice, keys, "left_semi").dropDuplicates(keys)
+    return named.join(twice, keys, "left_anti").unionByName(again).select("host", "html")
+
+
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host (hashed), template: hashes of the subtrees that recur on the host's pages.
+    """host (hashed), template: hashes of the subtrees that recur on the host's pages; pages of equal html count once.
 
-    A share of pages can hold but so many subtrees each, so a template has at most 1 / least_share times the
-    elements of an average page, on however many pages.
+    So many pages can hold but so many subtrees each, so a template has at most the larger of 1 / least_share and
+    sqrt(pages) / ROOTS times the elements of an average page.
     """
-    named = pages.filter("html is not null").select(F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
+    named = pages.filter("html is not null").select(_host().alias("host"), "html").filter("host is not null")
+    named = _once(named.select("host", F.xxhash64("html").alias("h1"), F.xxhash64(F.lit(1), "html").alias("h2"), "html"))
     sizes = named.groupBy("host").agg(F.count("*").alias("pages"))
     counts = named.mapInArrow(_counted, "host long, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n"))
-    often = counts.filter(F.col("n") >= least_pages).join(sizes, "host").filter(F.col("n") >= least_share * F.col("pages"))
+    often = counts.filter(F.col("n") >= least_pages).join(sizes, "host").filter(F.col("n") >= F.least(least_share * F.col("pages"), ROOTS * F.sqrt("pages")))
     return often.groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
@@ -250,6 +280,6 @@ def extract(pages: DataFrame) -> DataFrame:
     templates = stored(site_templates(pages))
     size = templates.agg(F.coalesce(F.sum(F.size("template") + 8), F.lit(0))).first()[0]
     templates = F.broadcast(templates) if size <= BROADCAST_HASHES else templates
-    rows = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("host"))
+    rows = pages.select("page_id", "url", "html", _host().alias("host"))
     rows = rows.join(templates, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "template")
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

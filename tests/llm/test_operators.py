@@ -236,6 +236,23 @@ def test_pages(spark):
     assert got == {**{i: f"Head {i} One & two {i} Three {i}" for i in range(8)}, 8: "a b", 9: "", 10: ""}
 
 
+def test_pages_keep_content_that_recurs(spark):
+    """Copies and near copies on a host keep their article; no host is no site; large hosts need no fifth of their pages."""
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    other = [(100 + i, f"http://h.org/{i}", f"<html><body><div>{words(i)}</div></body></html>") for i in range(10)]
+    same = "<html><body><div><article><p>Copied text</p></article></div></body></html>"
+    near = lambda i: f"<html><body><article><p>A paragraph that near copies share</p><p>at {i}</p></article></body></html>"
+    plain = "<html><body><div>Bare copy</div></body></html>"
+    rows = [*other, *((i, "http://h.org/c", same) for i in range(6)), *((10 + i, "http://h.org/n", near(i)) for i in range(6)), *((20 + i, "http://h.org/b", plain) for i in range(6))]
+    rows += [(30 + i, None, f"<body><div>Shared</div><p>own {i}</p></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(6)} == {"Copied text"} and {got[20 + i] for i in range(6)} == {"Bare copy"}
+    assert [got[10 + i] for i in range(6)] == [f"A paragraph that near copies share at {i}" for i in range(6)]
+    assert [got[30 + i] for i in range(6)] == [f"Shared own {i}" for i in range(6)] and got[103] == words(3)
+    large = [(i, f"http://big.org/{i}", f"<body>{'<div>Ad block</div>' if i % 10 == 0 else ''}<p>own {i}</p></body>") for i in range(12000)]
+    assert pages.extract(spark.createDataFrame(large, "page_id long, url string, html string")).filter("text like '%Ad block%'").count() == 0
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "x" * 64, "y" * 65, "é" * 5000, "y" * 65]
     got = {r.doc_id: r for r in media.media(docs(spark, texts), with_media=True).collect()}
