@@ -63,13 +63,15 @@ def poisson_surprise(matched: Column, expected: Column, most: float = 300.0) ->
     """-log10 P(X >= matched) for a Poisson of mean expected, at most `most`, 0 for no match. Expressions only.
 
     Above the mean the tail is a series that starts at the term of `matched`, in logarithms; below it one minus the
-    cumulated head. Terms are summed until they no longer count (8 standard deviations and 50 more).
+    head, summed down from its largest term, which is in logarithms too. Terms are summed until they no longer count
+    (8 standard deviations and 50 more).
     """
     x, m = expected.cast("double"), matched.cast("int")
     log_fact = F.aggregate(F.sequence(F.lit(1), m), F.lit(0.0), lambda a, k: a + F.log(k.cast("double")))
     terms = (8 * F.sqrt(x) + 50).cast("int")
     series = F.aggregate(F.sequence(F.lit(1), terms), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, i: F.struct((a["t"] * x / (m + i)).alias("t"), (a["s"] + a["t"] * x / (m + i)).alias("s")))["s"]
     above = -(-x + m * F.log(x) - log_fact + F.log(series)) / F.log(F.lit(10.0))
-    head = F.aggregate(F.sequence(F.lit(0), m - 1), F.struct(F.exp(-x).alias("t"), F.lit(0.0).alias("s")), lambda a, k: F.struct((a["t"] * x / (k + 1)).alias("t"), (a["s"] + a["t"]).alias("s")))["s"]
+    falling = F.aggregate(F.sequence(F.lit(1), terms), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, i: F.struct((a["t"] * F.greatest(m - i, F.lit(0)) / x).alias("t"), (a["s"] + a["t"] * F.greatest(m - i, F.lit(0)) / x).alias("s")))["s"]
+    head = F.exp(-x + (m - 1) * F.log(x) - log_fact + F.log(m.cast("double"))) * falling
     below = -F.log10(F.greatest(1 - head, F.lit(1e-300)))
     return F.when(m <= 0, 0.0).otherwise(F.least(F.lit(most), F.when(m > x, above).otherwise(below)))

@@ -1,10 +1,12 @@
 """Bursts of synthetic series, attention, versions."""
 
+import math
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from quakeline.functions.scalars import midrank
+from quakeline.functions.scalars import midrank, poisson_surprise
 from quakeline.operators import bitemporal as T
 from quakeline.operators import series as S
 
@@ -71,3 +73,16 @@ def test_precedence_agrees_with_winner(spark):
     ranked = {(r.k, r.rank_in_key): r.row_id for r in T.precedence(df, ["k"]).collect()}
     assert ranked == {("x", 1): "r2", ("x", 2): "r1", ("x", 3): "r3", ("y", 1): "r4", ("y", 2): "r5"}
     assert {r.k: r.row_id for r in T.winners(df, ["k"]).collect()} == {"x": "r2", "y": "r4"}
+
+
+def test_surprise_of_large_counts(spark):
+    """At and below means whose exp(-mean) underflows, against sums of logarithms."""
+    rows = [(m, x) for x in (0.5, 3.0, 12.0, 700.0, 746.0, 800.0, 5000.0) for m in sorted({1, 2, int(x), int(x - x**0.5), int(x + x**0.5)}) if m > 0]
+
+    def want(m, x):
+        tail = lambda ks: math.fsum(math.exp(-x + k * math.log(x) - math.lgamma(k + 1)) for k in ks)
+        return -math.log10(tail(range(m, m + 2000)) if m > x else 1 - tail(range(m)))
+
+    got = spark.createDataFrame(rows, "m int, x double").select("m", "x", poisson_surprise(F.col("m"), F.col("x")).alias("s")).collect()
+    assert {(r.m, r.x): r.s for r in got} == pytest.approx({(m, x): want(m, x) for m, x in rows}, abs=1e-8)
+    assert {(r.m, r.x): r.s for r in got}[(800, 800.0)] > 0.29
