@@ -6,12 +6,12 @@ its own segments in an index, keyed by length, segment number and text, and prob
 LIMIT below its own at the few places that the multi-match rule leaves. Pairs that meet are verified by a banded
 bit-parallel edit distance: the 2 * LIMIT + 1 cells of a column are the bits of one number.
 
-A segment that many lines share is a hot key. Its pairs are made on a condition on letter counts, which no pair
-within the limit fails, so that a group of lines with the same beginning makes few pairs, and no group is gathered.
+A segment that many lines share is a hot key. It stands in the index as one row, and its lines meet again on the
+rest: cut the shared segment out of both, and the rests are within LIMIT edits too, so they share a segment of the
+rest. This narrows a hot key round by round, so that no group is gathered and few pairs are made.
 
-Long lines may differ by words too, one in SHARE of the shorter line's. An edit of a word spoils SHINGLE runs of SHINGLE
-words at most, so of two such lines the SHINGLE * limit + 1 runs with the least hashes have one in common, at a place
-that moves by no more than the limit. Pairs that meet are verified by the distance of their words.
+Lines that are left may still hold passages of other documents, wrapped or edited otherwise. So equal sentences are
+merged as well: a sentence of at least LEAST characters that an earlier line holds is cut out of its line.
 """
 
 from __future__ import annotations
@@ -19,60 +19,96 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quakeline.llm.common import stored
 
 LIMIT = 2
-#: Shorter lines (in characters, without outer white space) are left alone.
+#: Shorter lines and sentences (in characters, without outer white space) are left alone: list marks, braces, headings
+#: and phrases of that size recur in texts that are no copies of each other.
 LEAST = 30
-#: A line of at least SHARE words repeats an earlier one within words // SHARE edits of whole words, words being those of the shorter line.
-SHARE = 20
-#: Words in a row that are hashed together.
-SHINGLE = 3
-#: Pairs that met up to this number have their ids broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_PAIRS = 2_000_000
+#: While hot keys are narrowed, a key of more lines than this stays hot; rounds; pairs of hot keys that are tested without.
+HOT, ROUNDS, DIRECT = 8, 5, 2_000_000
+#: Tables of up to this number of rows of a few numbers are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Where a sentence ends; both sides stay in the text.
+SENTENCE_END = r"(?<=[.!?])(?=\s)"
+
+
+#: ASCII white space that a line can hold.
+SPACE = " \t\x0b\f\r"
 
 
 def trimmed(line: Column) -> Column:
     """A line without ASCII white space at its ends; two lines count as equal if these are."""
-    return F.btrim(line, F.lit(" \t\x0b\f\r"))
+    edge = F.lit(False)
+    for x in SPACE:
+        edge = edge | line.startswith(x) | line.endswith(x)
+    return F.when(edge, F.btrim(line, F.lit(SPACE))).otherwise(line)
+
+
+def _version(text: Column | str = "text") -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(text)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), line of every line that takes part."""
-    each = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter("doc_id is not null")
+    """doc_id, version, pos (from 0), line (trimmed) of every line that takes part."""
+    each = docs.select(F.col("doc_id").cast("long"), _version().alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter("doc_id is not null")
     return each.filter(F.length("line") >= LEAST).withColumn("line", trimmed(F.col("line"))).filter(F.length("line") >= LEAST)
 
 
-def _segments(length: Column, limit: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each of limit + 1 segments; the last ones are longer by one."""
+def _hashes(c: str) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
+
+
+def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, broadcast if a count allows it."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def index_specs(limit: int) -> list[tuple[int, int, int]]:
+    """(characters shorter, segment, shift) of a line's own segments."""
+    return [(0, i, 0) for i in range(limit + 1)]
+
+
+def probe_specs(limit: int) -> list[tuple[int, int, int]]:
+    """Where any line at most as long, within limit edits, has a segment in the index: the multi-match rule."""
+    return [(d, i, s) for d in range(limit + 1) for i in range(limit + 1) for s in range(max(-i, d - (limit - i)), min(i, d + (limit - i)) + 1)]
+
+
+def _span(length: Column, i: Column, limit: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment i of limit + 1; the last ones are longer by one."""
     n = limit + 1
-    short = F.floor(length / n).cast("int")
-    longer = (length - short * n).cast("int")
-    return [(F.lit(i) * short + F.greatest(F.lit(0), longer - (n - i)), short + (F.lit(i) >= n - longer).cast("int")) for i in range(n)]
+    short = F.call_function("div", length, F.lit(n)).cast("int")
+    longer = length - short * n
+    return i * short + F.greatest(F.lit(0), longer - (F.lit(n) - i)), short + (i >= F.lit(n) - longer).cast("int")
+
 
+def _spec_literals(specs: list[tuple[int, int, int]]) -> Column:
+    return F.array(*(F.struct(F.lit(k).alias("spec"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for k, (d, i, s) in enumerate(specs)))
 
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), text)
 
+def _segment(of: str, limit: int) -> tuple[Column, Column, Column]:
+    """Length of the indexed line, and place (from 0) and size of the segment, of a row's text by its column `of`."""
+    n = F.length("text") - F.col(f"{of}.d")
+    start, size = _span(n, F.col(f"{of}.i"), limit)
+    return n, start + F.col(f"{of}.s"), size
 
-def index_keys(line: Column, limit: int = LIMIT, n: Column | None = None) -> Column:
-    """Keys of the line's own segments; n is its length, if a column has it."""
-    n = F.length(line) if n is None else n
-    return F.array(*(_key(n, i, F.substring(line, p + 1, m)) for i, (p, m) in enumerate(_segments(n, limit))))
 
+def _keyed(rows: DataFrame, specs: list[tuple[int, int, int]], limit: int, group: str | None = None, gap: str | None = None) -> DataFrame:
+    """rows (with id, text) once for each spec: id, text, key, spec (its number), gap in length, at and size of the segment in text.
 
-def probe_keys(line: Column, limit: int = LIMIT, n: Column | None = None) -> Column:
-    """Keys under which any line at most as long, within limit edits, has a segment in the index."""
-    n, keys = F.length(line) if n is None else n, []
-    for shorter in range(limit + 1):
-        length = n - shorter
-        for i, (p, m) in enumerate(_segments(length, limit)):
-            for shift in range(max(-i, shorter - (limit - i)), min(i, shorter + (limit - i)) + 1):
-                keys.append(_key(length, i, F.substring(line, p + shift + 1, m)))
-    return F.array(*keys)
+    A row makes one key at a time, so that the work is one short loop of compiled code. With group the key is one
+    within that group. With gap, only the specs of that difference of lengths count.
+    """
+    each = rows.withColumn("of", F.explode(_spec_literals(specs)))
+    if gap:
+        each = each.filter(F.col("of.d") == F.col(gap))
+    n, at, size = _segment("of", limit)
+    key = F.xxhash64(*([F.col(group)] if group else []), n, F.col("of.i"), F.substring(F.col("text"), at + 1, size))
+    return each.select("id", "text", key.alias("key"), F.col("of.spec").alias("spec"), F.col("of.d").alias("gap"), at.alias("at"), size.alias("size"))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -147,8 +183,8 @@ def differing(a: str, b: str) -> tuple[list[Column], list[Column], Column, Colum
 
 #: Letters whose counts bound the distance from below: an edit changes two of them by one at most.
 GROUPS = ("eatoinsr", "hldcuf .")
-#: An index key of more lines than this is hot: its pairs are made on the condition that the counts fit.
-HOT = 8
+#: Parts into which the probes of a key that stays hot are dealt.
+SALTS = 16
 
 
 def letter_counts(line: Column) -> Column:
@@ -171,39 +207,90 @@ def counts_fit(a: Column, b: Column, limit: int = LIMIT) -> Column:
     return sum(parts[1:], parts[0]) <= 2 * limit
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """id, line, doc_id, pos: each distinct line with its first place in order of doc_id and position. Stored."""
-    firsts = lines_of(docs).groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("place"))
-    return stored(firsts.select(F.monotonically_increasing_id().alias("id"), "line", "place.doc_id", "place.pos"), "zstd")
+def placed_lines(docs: DataFrame) -> DataFrame:
+    """id, doc_id, version, pos, line, h1, h2 of every line that takes part. Stored, so that ids are fixed."""
+    return stored(lines_of(docs).select(F.monotonically_increasing_id().alias("id"), "doc_id", "version", "pos", "line", *_hashes("line")))
+
 
+def _later(units: DataFrame, place: list[str], placed: DataFrame | None = None) -> DataFrame:
+    """Of units (id, h1, h2 and place, or its part that placed has not by id) those that share (h1, h2): id, place, first,
+    the least place and id of them, and repeats, whether the own place is another. Stored."""
+    twice = _small(stored(units.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")))
+    found = units.join(twice, ["h1", "h2"], "left_semi")
+    if placed is not None:
+        found = found.join(_small(stored(found.select("id").distinct()).join(placed, "id")), "id")
+    found = stored(found)
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct(*place, "id")).alias("first"))
+    both = found.join(_small(first), ["h1", "h2"])
+    return stored(both.select("id", *place, "first", (F.struct(*place) != F.struct(*(f"first.{c}" for c in place))).alias("repeats")))
 
-def _keyed(lines: DataFrame, name: str, keys: Callable, limit: int, *more: str) -> DataFrame:
-    sized = lines.select(F.col("id").alias(name), "line", F.length("line").alias("n"))
-    return sized.select(name, keys(F.col("line"), limit, F.col("n")).alias("keys"), *more).select(name, F.explode("keys").alias("key"), *more)
+
+def _rest(text: Column | str, at: Column, size: Column) -> Column:
+    """The text without a segment."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.concat(F.substring(text, F.lit(1), at), F.substring(text, at + size + 1, F.length(text)))
 
 
 def meeting(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Pairs (a, b) of ids that meet in the index: all of keys with few lines, and of hot keys those whose counts fit."""
-    index = _keyed(lines, "a", index_keys, limit).withColumn("n", F.count("*").over(W.partitionBy("key")))
-    probes = _keyed(lines, "b", probe_keys, limit)
-    # the index is the side to hash: a key has HOT rows there at most, and the many probes need no sort
-    cold = index.filter(F.col("n") <= HOT).select("key", "a").hint("shuffle_hash").join(probes, "key").filter("a <> b").select("a", "b")
-    hot_a = stored(index.filter(F.col("n") > HOT).select("key", "a"))
-    few = hot_a.select("key").distinct()
-    hot_b = stored(probes.join(F.broadcast(few) if hot_a.count() <= BROADCAST_PAIRS else few, "key", "left_semi"))
-    ids = hot_a.select(F.col("a").alias("id")).union(hot_b.select(F.col("b").alias("id"))).distinct()
-    ids = F.broadcast(ids) if hot_b.count() <= BROADCAST_PAIRS else ids
-    counted = stored(lines.join(ids, "id", "left_semi").select("id", letter_counts(F.col("line")).alias("c")))
-    a, b = (x.join(counted.withColumnsRenamed({"id": n, "c": f"c_{n}"}), n) for x, n in ((hot_a, "a"), (hot_b, "b")))
-    warm = a.join(b, "key").filter((F.col("a") != F.col("b")) & counts_fit(F.col("c_a"), F.col("c_b"), limit)).select("a", "b")
-    return stored(cold.union(warm).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    """Pairs (a, b) of ids that meet in the index, each once; lines of a hot key only if they meet again on the rest. Stored.
+
+    A key of the index is one row: how many lines have it, the least and the greatest of them. These are all, or it is hot.
+    """
+    specs = probe_specs(limit)
+    texts = lines.select("id", F.col("line").alias("text"))
+    heads = _keyed(texts, index_specs(limit), limit).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    probes = _keyed(texts, specs, limit).select("key", (F.col("id") * len(specs) + F.col("spec")).alias("p"))
+    b, spec = F.call_function("div", F.col("p"), F.lit(len(specs))), F.pmod(F.col("p"), F.lit(len(specs))).cast("int")
+    both = heads.hint("shuffle_hash").join(probes, "key").filter((F.col("n") > 2) | (F.col("lo") != b) | (F.col("hi") != b))
+    met = stored(both.select(F.when(F.col("n") > 2, F.col("key")).alias("key"), "lo", "hi", b.alias("b"), spec.alias("spec")))
+    pairs = met.filter("key is null").select(F.explode(F.array("lo", "hi")).alias("a"), "b")
+    hits = met.filter("key is not null").select("key", F.col("b").alias("id"), F.col("spec").alias("hit"))
+    many = hits.count()
+    if many:
+        pairs = pairs.union(_narrowed(texts, _small(hits, many), limit))
+    return stored(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _tests(a: DataFrame, b: DataFrame) -> int:
+    """Pairs of a row of a and one of b with the same g."""
+    n = a.groupBy("g").count().join(b.groupBy("g").agg(F.count("*").alias("more")), "g")
+    return n.agg(F.coalesce(F.sum(F.col("count").cast("double") * F.col("more")), F.lit(0.0))).first()[0]
+
+
+def _narrowed(texts: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) of hot keys whose lines meet again on the rest, and on the rest of that, for ROUNDS rounds at most.
+
+    hits: key, id, hit (the number of the spec by which the line probes the key). A line's own segments are among them.
+    """
+    specs, own = probe_specs(limit), index_specs(limit)
+    cut = lambda df, *more: df.select(F.col("key").alias("g"), "id", _rest("text", F.col("at"), F.col("size")).alias("text"), *more)
+    b = texts.join(hits, "id").withColumn("of", F.element_at(_spec_literals(specs), F.col("hit") + 1))
+    _, at, size = _segment("of", limit)
+    b = b.select("key", "id", "text", at.alias("at"), size.alias("size"), F.col("of.d").alias("gap"), F.col("hit").isin([specs.index(x) for x in own]).alias("own"))
+    b = stored(cut(b, "gap", "own"))
+    a = b.filter("own").select("g", "id", "text")
+    out = []
+    for _ in range(ROUNDS):
+        if _tests(a, b) <= DIRECT:
+            break
+        ia, ib = _keyed(a, own, limit, group="g"), _keyed(b, specs, limit, group="g", gap="gap")
+        hot = _small(stored(ia.groupBy("key").count().filter(F.col("count") > HOT).select("key")))
+        few = ia.select("key", F.col("id").alias("a")).join(hot, "key", "left_anti").hint("shuffle_hash")
+        out.append(stored(few.join(ib.select("key", F.col("id").alias("b")), "key").select("a", "b").filter("a <> b").distinct()))
+        a, b = stored(cut(ia.join(hot, "key", "left_semi"))), stored(cut(ib.join(hot, "key", "left_semi"), "gap"))
+    x = a.select("g", F.col("id").alias("a"), letter_counts(F.col("text")).alias("ca"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    y = b.select("g", F.col("id").alias("b"), letter_counts(F.col("text")).alias("cb"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    out.append(x.join(y, ["g", "salt"]).filter((F.col("a") != F.col("b")) & counts_fit(F.col("ca"), F.col("cb"), limit)).select("a", "b"))
+    pairs = out[0]
+    for more in out[1:]:
+        pairs = pairs.union(more)
+    return pairs
 
 
 def near_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Pairs (a, b) of ids of distinct lines within limit edits, each once. lines: id, line. Stored."""
     met = meeting(lines, limit)
-    ids = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
-    ids = F.broadcast(ids) if met.count() <= BROADCAST_PAIRS else ids
+    ids = _small(stored(met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()))
     texts = stored(lines.join(ids, "id", "left_semi").select("id", "line", letter_counts(F.col("line")).alias("c")), "zstd")
     a, b = (texts.select(F.col("id").alias(k), F.col("line").alias(f"l{k}"), F.col("c").alias(f"c{k}")) for k in "ab")
     both = met.join(a, "a").join(b, "b").filter(counts_fit(F.col("ca"), F.col("cb"), limit))
@@ -218,81 +305,75 @@ def near_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
     return stored(both.repartition(tasks).filter(within(F.concat("ma", pad), F.concat("mb", pad), limit)).select("a", "b"))
 
 
-def _allowed(words: Column) -> Column:
-    return F.floor(words / SHARE).cast("int")
-
-
-def _words(lines: DataFrame) -> DataFrame:
-    """id, w, m: the words of each line that has SHARE of them, and their number."""
-    each = lines.select("id", F.split("line", r"\s+").alias("w")).withColumn("m", F.size("w"))
-    return each.filter(F.col("m") >= SHARE)
-
-
-def word_codes(words: Column) -> Column:
-    """Each word as one character, one of 786,432, so that a distance of strings is one of words."""
-    six = lambda h, k: F.shiftright(h, k).bitwiseAND(F.lit(63))
-    code = lambda h: F.lit(0xF1808080).cast("long") + F.pmod(F.shiftright(h, 20), F.lit(3)) * (1 << 24) + six(h, 12) * (1 << 16) + six(h, 6) * (1 << 8) + six(h, 0)
-    return F.unhex(F.array_join(F.transform(words, lambda w: _let(F.xxhash64(w), lambda h: F.hex(code(h)))), "")).cast("string")
-
-
-def near_by_words(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids, a < b, of distinct lines within the limit of words, each once. lines: id, line. Stored."""
-
-    def runs(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
-
-    def chosen(h: Column) -> Column:
-        last = lambda s: F.get(s, F.least(SHINGLE * _allowed(F.size(h) + SHINGLE - 1), F.size(s) - 1))
-        placed = F.transform(h, lambda x, i: F.struct(i.alias("p"), x.alias("key")))
-        return _let(_let(F.sort_array(F.array_distinct(h)), last), lambda top: F.filter(placed, lambda e: e["key"] <= top))
-
-    # chosen before they are exploded, each step once a line
-    keys = stored(_words(lines).select("id", "m", F.explode(_let(F.col("w"), lambda w: _let(runs(w), chosen))).alias("k")).select("id", "m", "k.p", "k.key"))
-    a, b = (keys.withColumnsRenamed({"id": x, "m": f"m{x}", "p": f"p{x}"}) for x in "ab")
-    most = _allowed(F.least("ma", "mb"))
-    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.abs(F.col("ma") - F.col("mb")) <= most) & (F.abs(F.col("pa") - F.col("pb")) <= most))
-    met = stored(met.select("a", "b", most.alias("most")).distinct())
-    ids = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
-    ids = F.broadcast(ids) if met.count() <= BROADCAST_PAIRS else ids
-    codes = stored(_words(lines.join(ids, "id", "left_semi")).select("id", word_codes(F.col("w")).alias("code")), "zstd")
-    both = met.join(codes.withColumnsRenamed({"id": "a", "code": "ca"}), "a").join(codes.withColumnsRenamed({"id": "b", "code": "cb"}), "b")
-    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(both.repartition(tasks).filter(F.expr("levenshtein(ca, cb, most) between 0 and most")).select("a", "b"))
+def sentences(lines: DataFrame) -> DataFrame:
+    """id, nth, h1, h2 of each sentence of at least LEAST characters, without outer spaces, of lines (id, line)."""
+    each = lines.select("id", F.posexplode(F.split("line", SENTENCE_END, -1)).alias("nth", "sentence"))
+    each = each.filter(F.length("sentence") >= LEAST).withColumn("sentence", F.trim("sentence")).filter(F.length("sentence") >= LEAST)
+    return each.select("id", "nth", *_hashes("sentence"))
 
 
 def repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, pos of every line that repeats an earlier one, in order of doc_id and position: equal, within limit edits or within the limit of words.
+    """doc_id, version, pos, nth of what repeats earlier text, in order of these: whole lines (nth null) and sentences.
 
-    Rows that repeat a doc_id count as one document. Rows without doc_id or text and short lines take no part.
+    A line goes if an earlier one equals it or is within limit edits; of the lines that stay, a sentence goes if an
+    earlier sentence equals it. nth counts from 0 within the line. version tells rows of one doc_id with different
+    texts apart, which are documents of their own; equal rows count as one. Rows without doc_id or text take no part.
     """
-    lines = distinct_lines(docs)
-    links = near_lines(lines, limit).union(near_by_words(lines))
-    placed = lines.select("id", F.struct("doc_id", "pos").alias("place"))
-    ends = links.join(placed.withColumnsRenamed({"id": "a", "place": "pa"}), "a").join(placed.withColumnsRenamed({"id": "b", "place": "pb"}), "b")
-    later = ends.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    hashes = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    firsts = lines.join(later.withColumn("near", F.lit(True)), "id", "left").select(*hashes, F.struct("doc_id", "pos").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    all_ = lines_of(docs).select("doc_id", "pos", *hashes)
-    found = all_.join(firsts, ["h1", "h2"]).filter((F.struct("doc_id", "pos") != F.col("first")) | F.col("near"))
-    return found.select("doc_id", "pos").distinct()
+    place = ["doc_id", "version", "pos"]
+    lines = placed_lines(docs)
+    equal = _later(lines.select("id", *place, "h1", "h2"), place)
+    first = lines.join(_small(equal.filter(F.col("id") != F.col("first.id")).select("id")), "id", "left_anti").select("id", *place, "line")
+    links = near_lines(first.select("id", "line"), limit)
+    where = lines.select("id", F.struct(*place).alias("place"))
+    ends = _small(links).join(where.withColumnsRenamed({"id": "a", "place": "pa"}), "a").join(where.withColumnsRenamed({"id": "b", "place": "pb"}), "b")
+    near = stored(ends.select(F.explode(F.array(F.when(F.col("pa") < F.col("pb"), F.struct(F.col("b").alias("id"), F.col("pb").alias("place"))).otherwise(F.struct(F.col("a").alias("id"), F.col("pa").alias("place"))))).alias("x")).select("x.id", "x.place.*").distinct())
+    kept = sentences(first.join(_small(near.select("id")), "id", "left_anti"))
+    again = _later(stored(kept), [*place, "nth"], lines.select("id", *place)).filter("repeats")
+    whole = equal.filter("repeats").select(*place).union(near.select(*place)).distinct()
+    return stored(whole.select(*place, F.lit(None).cast("int").alias("nth")).union(again.select(*place, "nth").distinct()))
+
+
+def _document(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), _version().alias("version")]
 
 
 def line_report(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_lines, n_dropped, dropped (positions from 0, ascending).
+    """Per row of docs (doc_id, text): doc_id, n_lines, n_dropped, dropped (positions of lines from 0, ascending), n_cut, cut.
 
-    Null text has no lines; an empty one has one, which is short.
+    cut holds line and number of each sentence that goes from a line that stays. Null text has no lines; an empty one
+    has one, which is short. Long texts are treated whole, repeated rows get equal answers, other columns are ignored,
+    and an empty table gives an empty result.
     """
-    gone = repeats(docs, limit).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
-    each = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    none = F.array().cast("array<int>")
-    return each.join(gone, "doc_id", "left").select("doc_id", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
+    lines_gone = F.sort_array(F.collect_list(F.when(F.col("nth").isNull(), F.col("pos")))).alias("dropped")
+    cut = F.sort_array(F.collect_list(F.when(F.col("nth").isNotNull(), F.struct("pos", "nth")))).alias("cut")
+    gone = repeats(docs, limit).groupBy("doc_id", "version").agg(lines_gone, cut)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")
+    each = docs.select(*_document(docs), n).join(gone, ["doc_id", "version"], "left")
+    none, no_cut = F.array().cast("array<int>"), F.array().cast("array<struct<pos:int,nth:int>>")
+    dropped, cut = F.coalesce("dropped", none), F.coalesce("cut", no_cut)
+    return each.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"), F.size(cut).cast("long").alias("n_cut"), cut.alias("cut"))
 
 
 def without_repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """docs with repeated lines cut out of text. A document of which nothing but white space is left goes; others stay."""
-    gone = repeats(docs, limit).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("pos").alias("_gone"))
-    rows = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    rows = rows.withColumn("text", cut).filter(F.col("_gone").isNull() | F.col("text").rlike(r"[^\s]"))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs with repeated lines and sentences cut out of text; all columns stay.
+
+    A document of which nothing but white space is left goes; others stay, null and empty ones too. Rows that repeat a
+    doc_id with other texts lose only their own repeats. An empty table gives an empty result.
+    """
+    gone = repeats(docs, limit)
+    touched = gone.select("doc_id", "version").distinct()
+    named = docs.select(*_document(docs), "text").join(_small(stored(touched)), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    lines = named.select("doc_id", "version", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    cuts = gone.groupBy("doc_id", "version", "pos").agg(F.max(F.col("nth").isNull()).alias("whole"), F.collect_set("nth").alias("nths"))
+    lines = lines.join(cuts, ["doc_id", "version", "pos"], "left").filter("not coalesce(whole, false)")
+    # sentences were counted in the trimmed line; a line that loses all of them goes
+    shorn = F.concat_ws("", F.filter(F.split(trimmed(F.col("line")), SENTENCE_END, -1), lambda _, i: ~F.array_contains("nths", i)))
+    lines = lines.withColumn("line", F.when(F.size("nths") > 0, shorn).otherwise(F.col("line"))).filter("line <> '' or not size(nths) > 0 or nths is null")
+    left = lines.select("doc_id", "version", F.struct("pos", "line").alias("l"))
+    texts = left.groupBy("doc_id", "version").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n").alias("new"))
+    texts = touched.join(texts, ["doc_id", "version"], "left").select(F.struct("doc_id", "version").alias("_key"), F.struct(F.coalesce("new", F.lit("")).alias("text")).alias("_new"))
+    old = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    key = F.struct(F.col("_row.doc_id").cast("long").alias("doc_id"), _version(F.col("_row.text")).alias("version"))
+    rows = old.withColumn("_key", key).join(texts, "_key", "left").withColumn("_text", F.coalesce("_new.text", "_row.text"))
+    rows = rows.filter(F.col("_new").isNull() | F.col("_text").rlike(r"[^\s]"))
+    return rows.select(*(F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -159,19 +159,12 @@ def test_line_dedup(spark):
     assert 5 not in left and left[0] == texts[0] and left[3] is None and left[4] == ""
 
 
-def test_line_dedup_of_long_lines(spark):
-    """The limit grows with the length, by words; against brute force, at and past the limit, repetitive lines too."""
-    rng = random.Random(11)
-    line = lambda n, of: [f"word{rng.randrange(of)}" for _ in range(n)]
-    base = [line(n, of) for n in (20, 39, 40, 95, 240) for of in (3, 5000)]
-    rows = list(base)
-    for w in base:
-        for more in (-1, 0, 1):
-            v = list(w)
-            for _ in range(max(1, len(w) // 20 + more)):
-                k, at = rng.randrange(3), rng.randrange(len(v))
-                v[at : at + (k != 1)] = [] if k == 2 else [f"replacement{rng.randrange(9999)}"]
-            rows.append(v)
+def words_of(rng, n, of=5000):
+    return [f"word{rng.randrange(of)}" for _ in range(n)]
+
+
+def expected_repeats(rows, limit=2, least=30):
+    """By brute force: positions of lines that go and (line, sentence) pairs that go, by (doc_id, text)."""
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -181,14 +174,49 @@ def test_line_dedup_of_long_lines(spark):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
         return row[-1]
 
-    short = [min(len(a), len(b)) for a, b in combinations(rows, 2)]
-    want = {(i, j) for (i, j), n in zip(combinations(range(len(rows)), 2), short, strict=True) if n >= 20 and distance(rows[i], rows[j]) <= n // 20}
-    lines = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "id long, line string")
-    assert {tuple(r) for r in line_dedup.near_by_words(lines).collect()} == want and len(want) > 10
-    paragraph = line(90, 5000)
-    other = " ".join([*paragraph[:50], "replacement", *paragraph[51:]])
-    got = {r.doc_id: list(r.dropped) for r in line_dedup.line_report(docs(spark, [" ".join(paragraph), "heading\n" + other])).collect()}
-    assert got == {0: [], 1: [1]}
+    places = [(d, t, k, x.strip(" \t\x0b\f\r")) for d, t in rows for k, x in enumerate((t or "").split("\n"))]
+    seen, said, lines, cut = [], set(), {}, {}
+    for d, t, k, x in places:
+        if len(x) >= least:
+            if any(abs(len(x) - len(y)) <= limit and distance(x, y) <= limit for y in seen):
+                lines.setdefault((d, t), []).append(k)
+            seen.append(x)
+    for d, t, k, x in places:
+        if len(x) >= least and k not in lines.get((d, t), []):
+            for i, s in enumerate(re.split(r"(?<=[.!?])(?=\s)", x)):
+                s = s.strip(" ")
+                if len(s) >= least:
+                    if s in said:
+                        cut.setdefault((d, t), []).append((k, i))
+                    said.add(s)
+    return lines, cut
+
+
+def test_line_dedup_of_hot_keys_and_passages(spark, monkeypatch):
+    """Groups of lines with the same beginning, middle or end, and passages inside other lines, against brute force."""
+    monkeypatch.setattr(line_dedup, "DIRECT", 0)
+    rng = random.Random(5)
+    same = " ".join(words_of(rng, 9))
+    group = [f"{same} {i * 7919 % 1000:03d} {'x' * (i % 5)}" for i in range(60)] + [f"{i * 7907 % 1000:03d} {same} tail" for i in range(60)] + [f"{same[:40]}{rng.choice('abc')}{same[40:]}{i % 7}" for i in range(40)]
+    passage = ". ".join(" ".join(words_of(rng, 10)) for _ in range(6)) + "."
+    rows = [(i, "\n".join(rng.sample(group, 4))) for i in range(60)] + [(100, f"Opening words of a document. {passage} And its end."), (101, passage), (102, f"{passage}\n  Other words. {passage} Yes!")]
+    lines, cut = expected_repeats(rows)
+    assert sum(map(len, lines.values())) > 50 and cut
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.line_report(df).collect()}
+    assert {(i, t): list(got[i].dropped) for i, t in rows if got[i].dropped} == lines
+    assert {(i, t): [tuple(x) for x in got[i].cut] for i, t in rows if got[i].cut} == cut
+    left = {r.doc_id: r.text for r in line_dedup.without_repeats(df).collect()}
+    assert left[100] == rows[60][1] and 101 not in left and left[102] == "Other words. Yes!"
+
+
+def test_line_dedup_of_rows_that_repeat_an_id(spark):
+    one, two, three = ("A line that is long enough, the first of all.", "Quite other words stand in this line, the second.", "And here we have the third line, unlike the others.")
+    rows = [(0, one, "x"), (1, one, "x"), (1, two, "y"), (1, two, "z"), (None, one, "n"), (2, None, "t"), (3, f"{three}\n{three}\n{two}", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, version string")
+    got = sorted(((r.doc_id, r.text, r.version) for r in line_dedup.without_repeats(df).collect()), key=str)
+    assert got == sorted([(0, one, "x"), (1, two, "y"), (1, two, "z"), (None, one, "n"), (2, None, "t"), (3, three, "c")], key=str)
+    assert line_dedup.without_repeats(df.limit(0)).count() == 0 and line_dedup.line_report(df.limit(0)).count() == 0
 
 
 def test_edit_distance_and_index(spark):
@@ -202,9 +230,10 @@ def test_edit_distance_and_index(spark):
         rows.append(("".join(a), "".join(b)))
     df = spark.createDataFrame(rows, "a string, b string").withColumn("near", F.levenshtein("a", "b") <= 2)
     shorter, longer = F.when(F.length("a") <= F.length("b"), F.col("a")).otherwise(F.col("b")), F.when(F.length("a") <= F.length("b"), F.col("b")).otherwise(F.col("a"))
-    df = df.withColumns({"s": shorter, "l": longer})
+    df = df.withColumns({"s": shorter, "l": longer, "id": F.monotonically_increasing_id()}).cache()
     assert df.filter(line_dedup.within(F.col("a"), F.col("b")) != F.col("near")).count() == 0
-    assert df.filter(F.col("near") & ~F.arrays_overlap(line_dedup.index_keys(F.col("s")), line_dedup.probe_keys(F.col("l")))).count() == 0
+    own, probes = (line_dedup._keyed(df.select("id", F.col(c).alias("text")), specs(2), 2).select("id", "key") for c, specs in (("s", line_dedup.index_specs), ("l", line_dedup.probe_specs)))
+    assert df.filter("near").join(own.join(probes, ["id", "key"]), "id", "left_anti").count() == 0
     assert df.filter(F.col("near") & ~line_dedup.counts_fit(line_dedup.letter_counts(F.col("a")), line_dedup.letter_counts(F.col("b")))).count() == 0
 
 
