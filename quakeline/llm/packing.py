@@ -9,6 +9,7 @@ memory is bounded and only the last sequence of a partition can be short.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -20,108 +21,206 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeline.llm.tokens import NOT_SPACE, blocks, split_words
+from quakeline.llm.tokens import _BYTE, NOT_SPACE, _powers, blocks, mix
 
 CAPACITY = 2048
 #: Price in tokens of padding of a cut after a sentence and inside one; spacing of the cuts offered inside long ones.
 SENTENCE, INSIDE, SPACING = 2, 8, 32
 STRETCH = 1 << 18
 END_ID = 1
-#: A character that stands between chunks encoded together.
-MARK = "\x01"
-#: Chunks in one call, and the bytes that end a sentence.
-TOGETHER = 200
+#: A character that stands between chunks encoded together, and chunks in one call.
+MARK, TOGETHER = "\x01", 200
+#: Rows of a batch that are read at a time.
+ROWS = 256
+#: Bytes that end a sentence.
 STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
+#: Bytes by class: 0 white space, 1 letters of any kind, 2 digits, 3 the rest.
+CLASS = np.full(256, 3, np.uint8)
+CLASS[~NOT_SPACE], CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]], CLASS[0x30:0x3A] = 0, 1, 2
 #: The letters by which byte-level models name bytes: printable ones stand for themselves, the rest from 0x100 up.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_NAMES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-#: Distinct chunks of text whose ids a worker remembers.
-MEMORY = 500_000
-
-
-class _Places(dict):
-    def __missing__(self, _: int) -> int:
-        return -1
-
+#: Pieces of text whose ids a worker remembers (about 60 bytes each).
+MEMORY = 400_000
+
+# How a tokenizers file must say that it drops white space, lower-cases and takes runs of letters, single
+# digits and runs of other characters for themselves. Texts for a file that says otherwise are encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLITS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def splits_by_pieces(config: dict) -> bool:
+    """Whether a tokenizers file does what PieceTokenizer relies on."""
+    names = [t["content"] for t in config.get("added_tokens") or ()]
+    model = config.get("model") or {}
+    return (
+        config.get("normalizer") == NORMALIZER and config.get("pre_tokenizer") == PRE_TOKENIZER and all(n.startswith("<|") and not any(map(str.isspace, n)) for n in names)
+        and not any(config.get(k) for k in ("truncation", "padding")) and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "unk_token"))
+    )
+
+
+class _Numbers:
+    """Numbers of 64-bit hashes: a table with open addresses, searched and filled for many at a time."""
+
+    def __init__(self) -> None:
+        self.used = 0
+        self._grow(1 << 16)
+
+    def _grow(self, size: int) -> None:
+        self.hash, self.number, self.mask = np.zeros(size, np.uint64), np.full(size, -1, np.int64), np.uint64(size - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each hash, or -1."""
+        out, open_, slot = np.full(len(hashes), -1, np.int64), np.arange(len(hashes)), hashes & self.mask
+        while len(open_):
+            number = self.number[slot]
+            hit = (number >= 0) & (self.hash[slot] == hashes[open_])
+            out[open_[hit]] = number[hit]
+            go = (number >= 0) & ~hit
+            open_, slot = open_[go], (slot[go] + np.uint64(1)) & self.mask
+        return out
 
-class ChunkTokenizer:
-    """Ids of texts through a tokenizers file that drops white space: each chunk between spaces is encoded once."""
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct hashes that are not in the table."""
+        self.used += len(hashes)
+        if 2 * self.used > len(self.hash):
+            full = self.number >= 0
+            hashes, numbers = np.concatenate((self.hash[full], hashes)), np.concatenate((self.number[full], numbers))
+            self._grow(1 << (4 * self.used).bit_length())
+        slot = hashes & self.mask
+        while len(hashes):
+            free = self.number[slot] < 0
+            self.number[slot[free]] = numbers[free]
+            got = self.number[slot] == numbers
+            self.hash[slot[got]] = hashes[got]
+            hashes, numbers, slot = hashes[~got], numbers[~got], (slot[~got] + np.uint64(1)) & self.mask
+
+
+class PieceTokenizer:
+    """Ids of texts through a tokenizers file; runs of letters, digits and other runs are encoded once each.
+
+    What bytes can't tell (letters that change under lower-casing or normalisation, other scripts' marks, apostrophes,
+    names of special tokens) is left to the library, a chunk between spaces at a time. A file that isn't made this way
+    (`splits_by_pieces`) is used text by text.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = splits_by_pieces(json.load(f))
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Places()
-        self.stems: dict[str, list[int]] = {}
-        self.count = np.array([1], np.int64)
-        self.at = np.array([0], np.int64)
+        """Piece 0 is the end of a text, piece 1 has no ids."""
+        self.known, self.chunks = _Numbers(), {}
+        self.count, self.at = np.array([1, 0], np.int64), np.array([0, 1], np.int64)
+        self.left = np.zeros(2, bool)  # to the library
         self.ids = np.array([END_ID], np.uint32)
 
-    def _stem(self, stem: str) -> list[int]:
-        if (ids := self.stems.get(stem)) is None:
-            plain = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_NAMES)
-            ids = self.stems[stem] = [t.id for t in self.tokenizer.model.tokenize(plain)]
-        return ids
-
-    def _encoded(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of each chunk. Small letters and a tail of stops and commas are pieces of their own to the model."""
-        out: list = [None] * len(chunks)
-        others = []
-        for i, c in enumerate(chunks):
-            stem = c.rstrip(".,")
-            if stem.isalpha() and (stem.islower() if stem.isascii() else stem == stem.lower() and is_normalized("NFC", stem)):
-                out[i] = self._stem(stem) + self._stem(c[len(stem) :]) if len(stem) < len(c) else self._stem(stem)
-            else:
-                others.append(i)
-        for lo in range(0, len(others), TOGETHER):
-            part = others[lo : lo + TOGETHER]
-            own = [chunks[i] for i in part]
+    def _piece(self, piece: bytes) -> list[int] | None:
+        """Ids of a run of one class, None if the library must see its chunk."""
+        if piece.isalpha():
+            plain = piece.decode()
+            if not piece.islower():
+                return None
+        elif piece.isascii():
+            if b"'" in piece or b"<|" in piece or min(piece) < 0x21 or max(piece) > 0x7E:
+                return None
+            plain = piece.decode()
+        else:
+            text = piece.decode("utf-8", "replace")
+            if not text.isalpha() or text != text.lower() or not is_normalized("NFC", text):
+                return None
+            plain = piece.decode("latin-1").translate(BYTE_NAMES)
+        return [t.id for t in self.tokenizer.model.tokenize(plain)]
+
+    def _by_library(self, chunks: list[str]) -> list[list[int]]:
+        out: list = []
+        for lo in range(0, len(chunks), TOGETHER):
+            own = chunks[lo : lo + TOGETHER]
             if len(self.mark) == 1 and not any(MARK in c for c in own):
                 # one call for all: the mark, itself a chunk of one id that no chunk holds, tells them apart
-                ids = self.tokenizer.encode(f" {MARK} ".join([*own, MARK]), add_special_tokens=False).ids
-                at = 0
-                for i in part:
+                ids, at = self.tokenizer.encode(f" {MARK} ".join([*own, MARK]), add_special_tokens=False).ids, 0
+                for _ in own:
                     end = ids.index(self.mark[0], at)
-                    out[i] = ids[at:end]
+                    out.append(ids[at:end])
                     at = end + 1
             else:
-                for i, e in zip(part, self.tokenizer.encode_batch(own, add_special_tokens=False), strict=True):
-                    out[i] = e.ids
+                out += [e.ids for e in self.tokenizer.encode_batch(own, add_special_tokens=False)]
         return out
 
-    def _learn(self, hashes: list[int], chunks: list[str]) -> None:
-        new = self._encoded(chunks)
-        counts = np.fromiter(map(len, new), np.int64, len(new))
-        self.known.update(zip(hashes, range(len(self.count), len(self.count) + len(chunks)), strict=True))
+    def _keep(self, new: list[list[int] | None]) -> np.ndarray:
+        """Numbers of new pieces or chunks."""
+        first = len(self.count)
+        ids = [x or () for x in new]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.left = np.concatenate((self.left, np.fromiter((x is None for x in new), bool, len(new))))
         self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(counts) - counts))
         self.count = np.concatenate((self.count, counts))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(counts.sum()))))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))))
+        return np.arange(first, first + len(new))
+
+    def _whole(self, chunks: list[bytes]) -> np.ndarray:
+        new = list(dict.fromkeys(c for c in chunks if c not in self.chunks))
+        if new:
+            numbers = self._keep(self._by_library([c.decode("utf-8", "surrogatepass") for c in new]))
+            self.chunks.update(zip(new, numbers.tolist(), strict=True))
+        return np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, each closed by END_ID; first id of each text; positions after a sentence."""
+        """Ids of all texts, each closed by END_ID; first id of each text and the end; positions after a sentence."""
+        if not self.by_pieces:
+            return self._text_by_text(texts)
         if not any(b"<|" in t for t in texts):  # the names of special tokens tell case apart, nothing else does
             texts = [t.lower() for t in texts]
-        if len(self.known) > MEMORY:
+        if len(self.count) > MEMORY:
             self._clear()
-        w = split_words(texts, NOT_SPACE)
-        chunk = np.fromiter(map(self.known.__getitem__, w.hashes.tolist()), np.int64, len(w.hashes))
-        missing = np.flatnonzero(chunk < 0)
+        data = b" ".join(texts) + b" "
+        raw = np.frombuffer(data, np.uint8)
+        kind = CLASS[raw]
+        before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+        start = np.flatnonzero((kind != 0) & ((kind != before) | (kind == 2)))
+        head = before[start] == 0  # of a chunk
+        inside = np.flatnonzero(kind != 0)
+        first = np.searchsorted(inside, start)
+        length = np.diff(first, append=len(inside))
+        end = start + length
+        hashes = mix(np.add.reduceat(_BYTE[raw[inside]] * _powers(int(length.max()))[np.arange(len(inside)) - np.repeat(first, length)], first) + length.astype(np.uint64)) if len(start) else np.empty(0, np.uint64)
+        piece = self.known.find(hashes)
+        missing = np.flatnonzero(piece < 0)
         if len(missing):
-            names, first, back = np.unique(w.hashes[missing], return_index=True, return_inverse=True)
-            self._learn(names.tolist(), [w.data[w.start[k] : w.end[k]].decode("utf-8", "surrogatepass") for k in missing[first].tolist()])
-            chunk[missing] = len(self.count) - len(names) + back
-        raw = np.frombuffer(w.data, np.uint8)
-        stops = STOPS[raw[w.end - 1]] | (raw[w.end] == 10) if len(w.end) else np.empty(0, bool)
-        chunk, stops = np.insert(chunk, w.at[1:], 0), np.insert(stops, w.at[1:], False)
-        counts = self.count[chunk]
+            names, where, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            spans = zip(start[missing[where]].tolist(), end[missing[where]].tolist(), strict=True)
+            numbers = self._keep([self._piece(data[i:j]) for i, j in spans])
+            self.known.add(names, numbers)
+            piece[missing] = numbers[back]
+        left = self.left[piece]
+        if left.any():
+            chunk = np.cumsum(head) - 1
+            heads = np.flatnonzero(head)
+            last = np.append(heads[1:], len(piece)) - 1
+            wanted = np.unique(chunk[left])
+            mine = np.zeros(len(heads), bool)
+            mine[wanted] = True
+            piece[mine[chunk]] = 1
+            piece[heads[wanted]] = self._whole([data[i:j] for i, j in zip(start[heads[wanted]].tolist(), end[last[wanted]].tolist(), strict=True)])
+        closes = np.append(head[1:], True) if len(head) else head
+        stops = closes & (STOPS[raw[end - 1]] | (raw[np.minimum(end, len(raw) - 1)] == 10)) if len(end) else np.empty(0, bool)
+        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
+        at = np.searchsorted(start, offsets)
+        piece, stops = np.insert(piece, at[1:], 0), np.insert(stops, at[1:], False)
+        counts = self.count[piece]
         ends = np.cumsum(counts)
-        ids = self.ids[np.repeat(self.at[chunk] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        text_ends = ends[w.at[1:] + np.arange(len(texts))]
-        return ids, np.concatenate(([0], text_ends)), ends[stops]
+        ids = self.ids[np.repeat(self.at[piece] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate(([0], ends[at[1:] + np.arange(len(texts))])), ends[stops]
+
+    def _text_by_text(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(own), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64), np.empty(0, np.int64)
 
 
 def best_cuts(positions: list[int], penalties: list[int], capacity: int = CAPACITY, open_end: bool = False) -> list[int]:
@@ -225,7 +324,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def _pack(path: str, with_ids: bool, capacity: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = ChunkTokenizer(path), Packer(capacity)
+        tokenizer, packer = PieceTokenizer(path), Packer(capacity)
         first = TaskContext.get().partitionId() << 33
         open_: dict[int, tuple] = {}  # number -> doc_id, tokens
         count = 0
@@ -233,7 +332,7 @@ def _pack(path: str, with_ids: bool, capacity: int):  # noqa: ANN202
         def piece(x: tuple) -> pa.RecordBatch:
             numbers = x[0].tolist()
             columns = [
-                pa.array([open_[k][0] for k in numbers], pa.int64()), pa.array(x[1]), pa.array(x[4]), pa.array([zlib.crc32(v.astype("<u4").tobytes()) for v in x[5]], pa.int64()),
+                pa.array([open_[k][0] for k in numbers], pa.int64()), pa.array(x[1]), pa.array(x[4]), pa.array([zlib.crc32(v.astype("<u4", copy=False)) for v in x[5]], pa.int64()),
                 pa.array([open_[k][1] for k in numbers], pa.int64()), pa.array(x[2] + first), pa.array(x[3]),
             ]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -245,8 +344,8 @@ def _pack(path: str, with_ids: bool, capacity: int):  # noqa: ANN202
                 del open_[k]
             return pa.record_batch(columns, names)
 
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(1).to_pylist()]
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            docs, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for part in blocks(texts):
                 ids, bounds, soft = tokenizer.encode(texts[part])
                 numbers = np.arange(count, count + len(bounds) - 1)
@@ -263,7 +362,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
 
     tokenizer is the path of a tokenizers file, on every executor. Texts (null: empty) get END_ID behind their ids,
     so each document has a piece. Sequences hold at most capacity ids. sequence_id has the partition in its upper
-    bits. No shuffle: a partition's documents are packed in their order, so read the table from files for a result
+    bits. A file that is not made of pieces is used text by text. No shuffle: a partition's documents are packed in their order, so read the table from files for a result
     that a retried task repeats. Repeated rows are packed again; with_ids adds the ids; an empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")

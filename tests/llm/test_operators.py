@@ -104,6 +104,20 @@ def test_packing_keeps_every_id(spark):
         assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) <= 2048
 
 
+@pytest.mark.parametrize(("name", "pieces"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_piece_tokenizer_equals_the_library(name, pieces):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path(name)
+    library, own, rng = tokenizers.Tokenizer.from_file(path), packing.PieceTokenizer(path), random.Random(1)
+    assert own.by_pieces == pieces
+    letters = [*"abzAZ éÉñß'sd.,;!?-—“”\u00a0\u0301İΣσς中ไท١²½_<|>09\t\n\x01\x1c\x7f\x85’", "'s", "'re", "<|endoftext|>", "<|EndOfText|>"]
+    texts = ["", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(600)), "word " * 3000]
+    for lo in range(0, len(texts), 50):
+        part = texts[lo : lo + 50]
+        ids, at, _ = own.encode([t.encode() for t in part])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in part]
+
+
 def test_best_cuts_against_all():
     rng = random.Random(2)
     for _ in range(50):
