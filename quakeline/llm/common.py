@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeline.operators.scratch import shared_dir, stored
+from quakeline.operators.scratch import removed, scratch, shared_dir, stored
 
-__all__ = ["lower_ascii", "shared_dir", "stored", "table"]
+__all__ = ["lower_ascii", "removed", "scratch", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quakeline.llm.tokens import ALNUM, blocks, lowered, split_words
+from quakeline.llm.tokens import ALNUM, blocks, few_rows, lowered, split_words
 
 WINDOW = 8
 #: Words of benchmark in one automaton, and in all of them: more is refused instead of sent to every executor.
@@ -163,7 +163,7 @@ def scan(texts: list[str | None], found: list[SuffixAutomaton]) -> Iterator[tupl
 
 def _reports(found: list[SuffixAutomaton]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = list(scan(batch.column(1).to_pylist(), found))
             yield pa.record_batch(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(r[3])).encode()).hexdigest() for r in rows], pa.string())],
@@ -186,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 def _cleaner(found: list[SuffixAutomaton], at: int, coverage: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, keep = batch.column(at).to_pylist(), []
             for i, (n, spans, hit, _) in enumerate(scan(texts, found)):
                 keep.append(not hit or hit < coverage * n)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeline.llm.tokens import ALNUM, blocks, lowered, split_words
+from quakeline.llm.tokens import ALNUM, blocks, few_rows, lowered, split_words
 
 # Notices and opening clauses of public licenses.
 TEMPLATES = {
@@ -122,7 +122,7 @@ _SCHEMA = "doc_id long, n_licenses long, licenses string, coverage double, match
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     templates = _templates()
-    for batch in batches:
+    for batch in few_rows(batches):
         raw = lowered(batch.column(1).to_pylist())
         rows = []
         for part in blocks(raw):

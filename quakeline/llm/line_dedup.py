@@ -354,26 +354,46 @@ def line_report(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return each.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"), F.size(cut).cast("long").alias("n_cut"), cut.alias("cut"))
 
 
+def _bits(places: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    """keys, and as `name` the places of column `at` as bits of an array of numbers: a place is found without a search."""
+    word, bit = F.call_function("div", F.col(at), F.lit(64)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)))
+    words = places.groupBy(*keys, word.alias("_word")).agg(F.bit_or(bit).alias("_bits")).groupBy(*keys)
+    dense = words.agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"), F.max("_word").alias("_last"))
+    return dense.select(*keys, F.transform(F.sequence(F.lit(0), "_last"), lambda i: F.coalesce(F.element_at("_map", i), F.lit(0).cast("long"))).alias(name))
+
+
+def _marked(bits: Column, i: Column) -> Column:
+    word = F.coalesce(F.get(bits, F.call_function("div", i, F.lit(64)).cast("int")), F.lit(0).cast("long"))
+    return F.call_function("shiftright", word, F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 1
+
+
+def _left(text: Column, marks: Column) -> Column:
+    """The text without what marks (whole, some: bits of lines; cuts: line, bits of sentences) says. A line that loses all sentences goes."""
+
+    def line(x: Column, i: Column) -> Column:
+        bits = F.element_at(F.filter(marks["cuts"], lambda c: c["pos"] == i), 1)["nths"]
+        shorn = F.concat_ws("", F.filter(F.split(trimmed(x), SENTENCE_END, -1), lambda _, k: ~_marked(bits, k)))
+        return F.when(_marked(marks["whole"], i), None).when(_marked(marks["some"], i), F.nullif(shorn, F.lit(""))).otherwise(x)
+
+    return F.array_join(F.filter(F.transform(F.split(text, "\n", -1), line), lambda x: x.isNotNull()), "\n")
+
+
 def without_repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with repeated lines and sentences cut out of text; all columns stay.
 
     A document of which nothing but white space is left goes; others stay, null and empty ones too. Rows that repeat a
-    doc_id with other texts lose only their own repeats. An empty table gives an empty result.
+    doc_id with other texts lose only their own repeats; long texts are treated whole. An empty table gives an empty
+    result. Of the texts, only the rows of docs are shuffled, and only if the marks are too many to be broadcast.
     """
-    gone = repeats(docs, limit)
-    touched = gone.select("doc_id", "version").distinct()
-    named = docs.select(*_document(docs), "text").join(_small(stored(touched)), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
-    lines = named.select("doc_id", "version", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    cuts = gone.groupBy("doc_id", "version", "pos").agg(F.max(F.col("nth").isNull()).alias("whole"), F.collect_set("nth").alias("nths"))
-    lines = lines.join(cuts, ["doc_id", "version", "pos"], "left").filter("not coalesce(whole, false)")
-    # sentences were counted in the trimmed line; a line that loses all of them goes
-    shorn = F.concat_ws("", F.filter(F.split(trimmed(F.col("line")), SENTENCE_END, -1), lambda _, i: ~F.array_contains("nths", i)))
-    lines = lines.withColumn("line", F.when(F.size("nths") > 0, shorn).otherwise(F.col("line"))).filter("line <> '' or not size(nths) > 0 or nths is null")
-    left = lines.select("doc_id", "version", F.struct("pos", "line").alias("l"))
-    texts = left.groupBy("doc_id", "version").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n").alias("new"))
-    texts = touched.join(texts, ["doc_id", "version"], "left").select(F.struct("doc_id", "version").alias("_key"), F.struct(F.coalesce("new", F.lit("")).alias("text")).alias("_new"))
-    old = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    key = F.struct(F.col("_row.doc_id").cast("long").alias("doc_id"), _version(F.col("_row.text")).alias("version"))
-    rows = old.withColumn("_key", key).join(texts, "_key", "left").withColumn("_text", F.coalesce("_new.text", "_row.text"))
-    rows = rows.filter(F.col("_new").isNull() | F.col("_text").rlike(r"[^\s]"))
+    gone, document = repeats(docs, limit), ["doc_id", "version"]
+    lines, parts = gone.filter("nth is null"), gone.filter("nth is not null")
+    cuts = _bits(parts, [*document, "pos"], "nth", "nths").groupBy(*document).agg(F.collect_list(F.struct("pos", "nths")).alias("cuts"))
+    marks = _bits(lines, document, "pos", "whole").join(_bits(parts, document, "pos", "some"), document, "full").join(cuts, document, "left")
+    none = F.array().cast("array<long>")
+    marks = marks.select(F.struct(*document).alias("_key"), F.struct(F.coalesce("whole", none).alias("whole"), F.coalesce("some", none).alias("some"), "cuts").alias("_marks"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rows = docs.select(F.struct(*_document(docs)).alias("_key"), row).join(marks, "_key", "left")
+    new = F.when(F.col("_marks").isNull(), F.col("_row.text")).otherwise(_left(F.col("_row.text"), F.col("_marks")))
+    # one value or none, so that the text is worked out once
+    rows = rows.select("_row", F.explode(F.filter(F.array(new), lambda t: F.col("_marks").isNull() | t.rlike(r"[^\s]"))).alias("_text"))
     return rows.select(*(F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quakeline.llm.common import stored
 from quakeline.llm.components import components
 from quakeline.llm.shingles import shingle_sets
-from quakeline.llm.tokens import mix
+from quakeline.llm.tokens import few_rows, mix
 
 BANDS, ROWS = 60, 5
 #: Candidate ids up to this many (8 bytes each) are broadcast to the scan of the texts; more are joined by a shuffle.
@@ -52,7 +52,7 @@ def min_max_bands(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         ids = batch.column(0)
         for part, sets in shingle_sets(batch.column(1).to_pylist()):
             n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -69,7 +69,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         for part, sets in shingle_sets(batch.column(1).to_pylist()):
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)

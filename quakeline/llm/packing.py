@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeline.llm.tokens import _BYTE, NOT_SPACE, _powers, blocks, mix
+from quakeline.llm.tokens import _BYTE, NOT_SPACE, _powers, blocks, few_rows, mix
 
 CAPACITY = 2048
 #: Price in tokens of padding of a cut after a sentence and inside one; spacing of the cuts offered inside long ones.
@@ -30,8 +30,6 @@ STRETCH = 1 << 18
 END_ID = 1
 #: A character that stands between chunks encoded together, and chunks in one call.
 MARK, TOGETHER = "\x01", 200
-#: Rows of a batch that are read at a time.
-ROWS = 256
 #: Bytes that end a sentence.
 STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 #: Bytes by class: 0 white space, 1 letters of any kind, 2 digits, 3 the rest.
@@ -344,7 +342,7 @@ def _pack(path: str, with_ids: bool, capacity: int):  # noqa: ANN202
                 del open_[k]
             return pa.record_batch(columns, names)
 
-        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+        for batch in few_rows(batches):
             docs, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for part in blocks(texts):
                 ids, bounds, soft = tokenizer.encode(texts[part])

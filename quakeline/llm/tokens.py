@@ -85,6 +85,13 @@ def blocks(texts: Sequence[bytes], limit: int = BLOCK_BYTES) -> Iterator[slice]:
         yield slice(lo, len(texts))
 
 
+def few_rows(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in parts of few rows, so that a worker holds few texts at a time, however large batches are."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def lowered(texts: Sequence[str | None]) -> list[bytes]:
     """UTF-8 with A-Z lower-cased; null is empty."""
     return [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]

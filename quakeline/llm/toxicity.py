@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakeline.llm.tokens import ALNUM, blocks, mix, split_words
+from quakeline.llm.common import stored
+from quakeline.llm.tokens import ALNUM, blocks, few_rows, mix, split_words
 
 BUCKETS, WIDTH, FILTERS, WIDTHS = 1 << 18, 12, 8, (1, 2, 3)
 #: Bytes of the beginning of a word, and texts that must have a bucket.
 PREFIX, LEAST_TEXTS = 5, 4
 #: Labelled rows learned from at most, of each class; of these a quarter calibrates.
 SAMPLE = 4_000
+#: Hashed words of the rows learned from, together: what the driver holds of them.
+SAMPLE_BYTES = 64 << 20
 EPOCHS, BATCH, RATE = 6, 48, 0.08
 #: Toxic rows of a language needed for a threshold of its own.
 LEAST_TOXIC = 25
@@ -175,24 +178,33 @@ def held_out() -> Column:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         out: list[bytes] = []
         for _, ids, at in word_ids(batch.column("text").to_pylist()):
             out += [ids[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), batch.column("toxic"), pa.array(out, pa.binary())], ["doc_id", "lang", "toxic", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit and calibrate on at most `sample` rows of each class, the first by a hash of doc_id, never on held-out ones.
 
-    Without rows of both classes the model stays as it is at first, with scores below 0.5.
+    Of these rows, in the same order, those are learned from whose hashed words (8 bytes each) fit into sample_bytes.
+    A doc_id with clashing labels is toxic; of several texts of a doc_id the least by its hashed words counts. Without rows of both classes the model stays as it is at first, with scores below 0.5.
     """
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"]).filter(~held_out())
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     order = F.xxhash64("doc_id")
     chosen = [known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # two times `sample` rows at most
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).join(chosen, "doc_id")
-    rows = sorted(texts.mapInArrow(_hashed, "doc_id long, lang string, toxic int, words binary").dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    hashed = texts.mapInArrow(_hashed, "doc_id long, lang string, toxic int, words binary")
+    hashed = stored(hashed.groupBy("doc_id").agg(F.min(F.struct("words", "lang", "toxic")).alias("r")).select("doc_id", "r.*"))
+    sizes = hashed.select("doc_id", F.length("words"), F.xxhash64("doc_id")).collect()
+    within, picked = sample_bytes, []
+    for doc_id, size, _ in sorted(sizes, key=lambda r: (r[2], r[0])):
+        if size <= within:
+            picked.append(doc_id)
+            within -= size
+    rows = sorted(hashed.filter(F.col("doc_id").isin(picked) if len(picked) < len(sizes) else F.lit(True)).collect(), key=lambda r: r.doc_id)
     model = Model.fresh()
     words = [np.frombuffer(r.words, "<i4").reshape(-1, 2) for r in rows]
     truth = np.array([r.toxic for r in rows], np.int64)
@@ -220,7 +232,7 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
 
 def _scorer(model: Model, at: int, lang: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             score = scores(model, batch.column(at).to_pylist())
             if lang is None:
                 yield pa.record_batch([batch.column(0), pa.array(score)], ["doc_id", "score"])
@@ -232,11 +244,19 @@ def _scorer(model: Model, at: int, lang: int | None) -> Callable:
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, held_out, score, predicted. Null texts count as empty; rows may repeat."""
+    """Per row of docs (doc_id, text): doc_id, held_out, score, predicted.
+
+    Null texts count as empty. Rows may repeat and get equal answers; long texts are read whole; other columns don't
+    matter, and an empty table gives an empty result. Rows without doc_id are not held out.
+    """
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(model, 1, None), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs (text, lang and any others) whose score is below the threshold of their language."""
+    """The rows of docs (text, lang and any others) whose score is below the threshold of their language.
+
+    A language without a threshold, or null, takes 0.5. Null and empty texts have the score of no words. Rows come back
+    as they are, repeated ones each; an empty table gives an empty result.
+    """
     return docs.mapInArrow(_scorer(model, docs.columns.index("text"), docs.columns.index("lang")), docs.schema)
