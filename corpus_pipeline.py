@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeline.llm import decontamination, line_dedup, minhash, packing, toxicity
-from quakeline.llm.common import shared_dir, table
+from quakeline.llm.common import removed, scratch, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,14 +17,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, equal or within two edits, and documents that consist of them."""
+    """Lines that repeat an earlier line, equal or within two edits, and sentences that repeat an earlier one go, and documents that consist of them."""
     return line_dedup.without_repeats(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least doc_id."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.struct("doc_id").alias("doc_id"))
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +48,18 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier and the tokenizer can't be expressed in SQL; tests compare each stage with brute force.
+#: The classifier and the tokenizer can't be expressed in SQL; tests/llm compares each operator, and run() as a whole, with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again; what a stage stored on its way goes."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            removed(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
