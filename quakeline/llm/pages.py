@@ -35,23 +35,33 @@ TOGETHER = 64
 # Elements of HTML by what a reader of text needs to know of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
-DROPPED = frozenset("script style textarea title noscript iframe template xmp head nav footer aside form button select option svg math canvas object audio video dialog menu input label fieldset".split())
+DROPPED = frozenset("script style textarea title noscript iframe template xmp head nav footer aside form button select option svg canvas object audio video dialog menu input label fieldset".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose start closes an open one of the second kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"div", "article", "section", "td", "th", "li", "body", "main", "aside", "footer", "header", "nav", "form", "blockquote"}}
-#: Words in class, id or role that mark what is no content.
+#: Words in class, id or role that mark what is no content, if all other words of the same name are NEUTRAL: `share` and
+#: `share-buttons` mark, `share-price` does not.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay "
     "sidebar sidenav nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc footer masthead topbar toolbar header "
-    "comment comments commentlist respond disqus replies reply discussion share sharing social related recommended recommendations teaser teasers widget widgets login search searchbox complementary contentinfo dialog form skip".split()
+    "comment comments commentlist respond disqus replies reply share sharing social related recommended recommendations teaser teasers widget widgets login search searchbox complementary contentinfo dialog form skip".split()
+)
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box btn button buttons col container content copyright desktop fixed global group holder icon icons inner item items left legal link links list main mobile outer page panel post posts "
+    "primary right row secondary section site slot sticky stories text title to top unit wrap wrapper".split()
 )
 #: Inside an article these may hold its own title.
 TITLES = frozenset(["header", "masthead", "banner"])
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_NAMING = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Open elements that a page can nest; deeper ones are read as text of the innermost.
+DEPTH = 1024
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag. Quotes count after = only, as browsers read them; nothing is tried twice, so the time is linear.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -63,67 +73,105 @@ class Node:
         self.children: list = []
 
 
-def _naming(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
-    """The attributes that name an element, and the words in them; 'hidden' for what isn't shown."""
+def _marks(value: str) -> set[str]:
+    """The marking words of the names in an attribute's value."""
+    out: set[str] = set()
+    for name in value.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if (own := words & MARKS) and words <= MARKS | NEUTRAL:
+            out |= own
+    return out
+
+
+def _naming(attributes: str) -> tuple[str, frozenset[str]]:
+    """The attributes that name an element, and the marks in them; 'hidden' for what isn't shown."""
     if not attributes or attributes.isspace():
         return "", frozenset()
     named, words = [], set()
-    for m in _NAMING.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or ""
+        if value[:1] in ("'", '"'):
+            value = value[1:-1] if len(value) > 1 and value[-1] == value[0] else value[1:]
         if key in ("class", "id", "role"):
             named.append(value)
-            words.update(w.lower() for w in _WORD.findall(value))
-        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            words |= _marks(value)
+        elif key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _HIDES.search(value)):
             words.add("hidden")
     return " ".join(named), frozenset(words)
 
 
 def parse(page: str) -> Node:
-    """Tree of elements and text of any markup, however broken: unclosed elements end with their parent."""
+    """Tree of elements and text of any markup, however broken: unclosed elements end with their parent. Takes linear time."""
     root = Node("#root")
-    open_ = [root]
-    at, end = 0, len(page)
+    open_, names, flat = [root], Counter(), Counter()
+    at, end, quotes = 0, len(page), True
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        while 0 <= start and not (page[start + 1 : start + 2] in ("!", "?") or _NAME.match(page, start + 1 + (page[start + 1 : start + 2] == "/"))):
+            start = page.find("<", start + 1)  # a sign, no tag
+        if start < 0:
             open_[-1].children.append(page[at:])
             break
-        if m.start() > at:
-            open_[-1].children.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        if start > at:
+            open_[-1].children.append(page[at:start])
+        if page[start + 1] in "!?":
+            close = "-->" if page.startswith("<!--", start) else "]]>" if page.startswith("<![CDATA[", start) else ">"
+            stop = page.find(close, start + 2)
+            at = end if stop < 0 else stop + len(close)
             continue
-        tag = name.lower()
-        if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
+        name = _NAME.match(page, start + 1 + (page[start + 1] == "/"))
+        tag, attributes = name[0].lower(), ""
+        rest = _REST.match(page, name.end()) if quotes and page[start + 1] != "/" else None
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:
+            if page[start + 1] != "/":
+                quotes = False  # a quote was never closed: from here on they mean nothing
+            stop = page.find(">", name.end())
+            if stop < 0:
+                open_[-1].children.append(page[start:])
+                break
+            attributes, at = page[name.end() : stop], stop + 1
+        if page[start + 1] == "/":
+            if flat[tag]:
+                flat[tag] -= 1
+            elif names[tag]:
+                _close(open_, names, next(i for i in range(len(open_) - 1, 0, -1) if open_[i].tag == tag))
             continue
         if tag in ENDS_P:
-            _end(open_, {"p"}, FENCES["p"])
+            _end(open_, names, {"p"}, FENCES["p"])
         if tag in CLOSES:
-            _end(open_, CLOSES[tag], FENCES.get(tag, set()))
-        attributes = m[3] or ""
-        new = Node(tag, *_naming(tag, attributes))
+            _end(open_, names, CLOSES[tag], FENCES.get(tag, set()))
+        new = Node(tag, *_naming(attributes))
         open_[-1].children.append(new)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             new.children.append(page[at : close.start() if close else end])
-            at = close.end() if close else end
+            stop = page.find(">", close.end()) if close else -1
+            at = end if stop < 0 else stop + 1
         elif tag not in VOID and not attributes.endswith("/"):
-            open_.append(new)
+            if len(open_) < DEPTH:
+                open_.append(new)
+                names[tag] += 1
+            else:
+                flat[tag] += 1
     return root
 
 
-def _end(open_: list[Node], tags: set[str], fences: set[str] | frozenset[str]) -> None:
+def _close(open_: list[Node], names: Counter, i: int) -> None:
+    names.subtract(n.tag for n in open_[i:])
+    del open_[i:]
+
+
+def _end(open_: list[Node], names: Counter, tags: set[str], fences: set[str] | frozenset[str]) -> None:
     """Close the innermost of the open elements that has one of the tags, unless a fence stands before it."""
+    if not any(names[t] for t in tags):
+        return
     for i in range(len(open_) - 1, 0, -1):
         if open_[i].tag in fences:
             return
         if open_[i].tag in tags:
-            del open_[i:]
+            _close(open_, names, i)
             return
 
 
@@ -166,7 +214,7 @@ def _unwanted(node: Node, inside: bool) -> bool:
         return False
     if node.tag == "header":
         return not inside
-    marks = node.marks & MARKS
+    marks = node.marks
     return bool(marks - TITLES if inside else marks) and node.tag not in ("html", "body", "main", "article") or (node.tag == "article" and bool(node.marks & {"comment", "comments", "reply", "related", "teaser", "ad", "promo"}))
 
 
@@ -192,8 +240,9 @@ def _text_parts(node: Node, cut: set[int], inside: bool) -> list[str]:
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """Text of the article: references decoded, white space and block ends as one space each; empty for null.
 
-    The article is the largest article element that is no comment or teaser, else main, else the body. A template that
-    would take more than half of an article or main, or all text of a page, is content that recurs, and stays.
+    The article is all main elements if there are any, else all outermost article elements that are no comment or
+    teaser, else the body, each in the order of the page. A template that would take more than half of an article or
+    main, or all text of a page, is content that recurs, and stays.
     """
     if not page:
         return ""
@@ -206,14 +255,14 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     articles, mains, stack = [], [], [(root, False)]
     while stack:
         node, within = stack.pop()
-        if id(node) in cut or (node is not root and _unwanted(node, within)):
-            continue
-        if node.tag == "article":
-            articles.append(node)
+        if id(node) in cut or (node is not root and _unwanted(node, False)):
             continue
         if node.tag == "main":
             mains.append(node)
-        stack.extend((c, within) for c in reversed(node.children) if isinstance(c, Node))
+            continue
+        if node.tag == "article" and not within:
+            articles.append(node)
+        stack.extend((c, within or node.tag == "article") for c in reversed(node.children) if isinstance(c, Node))
     read = lambda n, inside, cut: " ".join(html.unescape("".join(_text_parts(n, cut, inside))).split())
 
     def kept(n: Node) -> str:
@@ -222,7 +271,7 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
         return whole if 2 * len(text) < len(whole) else text
 
     if articles or mains:
-        text = max(map(kept, articles or mains), key=len)
+        text = " ".join(filter(None, map(kept, mains or articles)))
     else:
         text = read(root, False, cut)
     return text or (main_text(page) if cut else "")
@@ -276,7 +325,12 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per row of pages (page_id, url, html): page_id, url, text, n_chars. Pages without a host have no template."""
+    """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
+
+    Pages without a host have no template. Null and empty pages have an empty text. Repeated rows get equal answers
+    and count once as pages of their host. Long pages are read whole, in linear time; other columns don't matter, and
+    an empty table gives an empty result.
+    """
     templates = stored(site_templates(pages))
     size = templates.agg(F.coalesce(F.sum(F.size("template") + 8), F.lit(0))).first()[0]
     templates = F.broadcast(templates) if size <= BROADCAST_HASHES else templates

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -296,6 +297,39 @@ def test_pages_keep_content_that_recurs(spark):
     assert pages.extract(spark.createDataFrame(large, "page_id long, url string, html string")).filter("text like '%Ad block%'").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><article><h1>A</h1>one</article><p>between</p><article>two</article><article class=teaser>no</article>", "A one two"),
+        ("<main><h1>Title</h1><article><p>Body</p></article><p>Closing</p><aside>x</aside></main><p>out", "Title Body Closing"),
+        ("<article><div class='share-price'>Rose</div><p class=social-science>By study</p><div class='share buttons'>x</div><ul class=commentList><li>y</ul></article>", "Rose By study"),
+        ("<article><p title=it's>Kept</p><p title='a>b' data-x=\"class='ad'\">too</p><p title=\"hidden gem\">here</p></article>", "Kept too here"),
+        ("<p>1 < 2 and </ 3 &lt;b&gt; &amp;amp;<p title=\"never closed>rest", "1 < 2 and </ 3 <b> &amp; rest"),
+        ("<div hidden>a</div><div style='display: none'>b</div><p>c<script>if (a</p>) </script>d<!-- <p> -->e<![CDATA[f]]>", "cde"),
+        ("<article><article class=comment>no</article><article>in</article>it</article>", "in it"),
+        ("<table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul>f\u00a0 g", "a b c d e f g"),
+        ("", ""), (None, ""), ("   ", ""), ("no markup", "no markup"), ("<nav>only</nav>", ""),
+    ],
+)
+def test_main_text(page, text):
+    assert pages.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<b ", "<", "</", "<i>", "<p>", "<hr><i>", "<td><i>", "<a ='", '<a b="', "<!--", "<script", "</script <script>", "<b x=1 ", "&", "<p><td><i><hr>", "</i>", "<article>", "<div class=ad>"])
+def test_broken_pages_take_linear_time(part):
+    began = time.perf_counter()
+    pages.main_text("<p>" + part * 20_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_page_corners(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, host string, template string")
+    assert pages.extract(empty).count() == 0
+    rows = [(1, "http://h.org/", "<article>Same</article>", "a", "t")] * 7 + [(2, "http://h.org/x", "<p>" + "word " * 100_000, None, None), (None, None, None, None, None)]
+    got = [(r.page_id, r.url, len(r.text), r.n_chars) for r in pages.extract(spark.createDataFrame(rows, empty.schema)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "http://h.org/", 4, 4)] * 7 + [(2, "http://h.org/x", 499_999, 499_999), (None, None, 0, 0)], key=str)
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "x" * 64, "y" * 65, "é" * 5000, "y" * 65]
     got = {r.doc_id: r for r in media.media(docs(spark, texts), with_media=True).collect()}
