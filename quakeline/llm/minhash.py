@@ -31,6 +31,8 @@ from quakeline.llm.tokens import few_rows, mix
 BANDS, ROWS = 60, 5
 #: Candidate ids up to this many (8 bytes each) are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: An element of more documents than this is dealt into SALTS parts.
+HOT, SALTS = 200, 16
 _SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 
@@ -97,11 +99,16 @@ def _prefix_candidates(sets: DataFrame, roots: DataFrame, percent: int) -> DataF
     order = W.partitionBy("doc_id").orderBy("df", "x")
     heads = each.join(found, "x").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     heads = stored(heads.filter("df > 1").join(roots, "doc_id").select("x", "doc_id", "n", "i", "root"))
+    # the rows of an element that many documents share are dealt into SALTS parts, each of which meets all of its partners
+    hot = stored(heads.groupBy("x").count().filter(F.col("count") > HOT).select("x", F.lit(True).alias("hot")))
+    heads = heads.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "x", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    parts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    heads = heads.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
     # Of a shared element, only documents outside its largest component look for partners: inside one there is nothing to find.
-    most = heads.groupBy("x", "root").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("root", F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-    rest = heads.join(most, "x").filter("root <> top").select("x", *(F.col(c).alias(f"{c}_") for c in ("doc_id", "n", "i", "root")))
+    most = heads.groupBy("x", "hot", "root").agg(F.count("*").alias("k")).groupBy("x", "hot").agg(F.max_by("root", F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    rest = heads.join(most.select("x", "top", parts), ["x", "salt"]).filter("root <> top").select("x", parts, *(F.col(c).alias(f"{c}_") for c in ("doc_id", "n", "i", "root")))
     fits = (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & ((100 + percent) * (1 + F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_"))) >= percent * (F.col("n") + F.col("n_")))
-    pairs = heads.join(rest, (heads["x"] == rest["x"]) & (F.col("root") != F.col("root_")) & fits)
+    pairs = heads.join(rest, (heads["x"] == rest["x"]) & (heads["salt"] == rest["salt"]) & (F.col("root") != F.col("root_")) & fits)
     return pairs.select(F.least("doc_id", "doc_id_").alias("a"), F.greatest("doc_id", "doc_id_").alias("b")).distinct()
 
 
@@ -110,7 +117,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     component_id is the least doc_id reachable over links, kept tells doc_id = component_id. Texts without words or
     null link with nothing. Rows repeating a doc_id count as one document and each gets its answer; rows without
-    doc_id have a null component and are kept. Other columns are ignored. An empty table gives an empty result.
+    doc_id have a null component and are kept. Other columns are ignored. An empty table gives an empty result. Words
+    and shingles are 64-bit hashes, and sets are equal if their sizes and 128-bit sums are. A long text is one value.
     """
     signed = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNATURE))
     named = signed.filter("n_shingles > 0 and doc_id is not null")
