@@ -1,4 +1,4 @@
-"""URL filter: host and path rules, then the likelihood ratio of two variable-order character models.
+"""URL filter: host and path rules, then the likelihood ratio of two variable-order character models of whole URLs.
 
 The models are Witten-Bell mixtures of contexts of 0 to ORDER characters, one learned from the URLs that the rules
 allow, one from those that they block. A URL's score is the difference of its log-likelihoods, divided by its length;
@@ -23,6 +23,8 @@ ORDER = 4
 PAD, ALPHABET = "\x02", 256
 #: Distinct n-grams up to this number (about 60 bytes each) are broadcast to the scoring; more are joined by a shuffle.
 BROADCAST_GRAMS = 300_000
+#: Parts into which the rows of each gram are dealt otherwise.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -65,28 +67,41 @@ def _likelihoods(counts: DataFrame, wanted: DataFrame) -> DataFrame:
         ends = counts.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("g")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
         context = ends.groupBy(F.substring("g", 1, k).alias("x")).agg(*(e for c in ("allow", "block") for e in (F.sum(c).alias(f"{c}_n"), F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_t"))))
         out = out.withColumns({"g": F.substring("gram", ORDER + 1 - k, k + 1), "x": F.substring("gram", ORDER + 1 - k, k)})
-        out = out.join(ends, "g", "left").join(context, "x", "left")
+        # the empty context is one row, not a key that all rows share
+        out = out.join(ends, "g", "left")
+        out = out.join(context, "x", "left") if k else out.crossJoin(F.broadcast(_one(context.drop("x"))))
         mixed = lambda c: F.when(F.coalesce(F.col(f"{c}_n"), F.lit(0)) > 0, (F.coalesce(F.col(c), F.lit(0)) + F.col(f"{c}_t") * F.col(f"{c}_p")) / (F.col(f"{c}_n") + F.col(f"{c}_t"))).otherwise(F.col(f"{c}_p"))
         out = out.select("gram", mixed("allow").alias("allow_p"), mixed("block").alias("block_p"))
     return out.select("gram", (F.log("allow_p") - F.log("block_p")).alias("ratio"))
 
 
+def _one(row: DataFrame) -> DataFrame:
+    """The one row of a table that has one at most; nulls if it has none."""
+    return row.agg(*(F.max(c).alias(c) for c in row.columns))
+
+
 def _scored(urls: DataFrame, grams: DataFrame, few: bool) -> DataFrame:
     """text, score of each distinct text: mean ratio of its characters, 0 without any."""
-    grams = F.broadcast(grams) if few else grams
-    each = urls.select("text", F.explode(_grams(F.col("text"))).alias("gram")).join(grams, "gram")
+    each = urls.select("text", F.explode(_grams(F.col("text"))).alias("gram"))
+    if few:
+        each = each.join(F.broadcast(grams), "gram")
+    else:  # a gram that most URLs have is met in SALTS places
+        salted = grams.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        each = each.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
     return each.groupBy("text").agg(F.avg("ratio").alias("score"))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """Per row of pages (page_id, url): page_id, host, path, rule, verdict, score (null where a rule decides).
 
-    Null URLs and those without :// have an empty host and path, which no rule fits and whose score is 0. With
-    URLs of one class only, everything that no rule judges is allowed. Repeated rows are judged alike.
+    Null URLs and those without :// have an empty host and path, which no rule fits; the score is that of the whole
+    URL all the same, 0 for null and empty ones. With URLs of one class only, everything that no rule judges is
+    allowed. Repeated rows are judged alike, long URLs are read whole, other columns don't matter, and an empty table
+    gives an empty result.
     """
-    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    split = pages.select("page_id", F.coalesce("url", F.lit("")).alias("text"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    split = split.withColumns({"rule": rule, "says": says, "text": F.concat("host", "path")})
+    split = split.withColumns({"rule": rule, "says": says})
     texts = stored(split.groupBy("text", "says").agg(F.count("*").alias("n")).withColumn("aside", F.pmod(F.xxhash64("text"), F.lit(5)) == 0))
     learned = texts.filter("says is not null and not aside").select("says", F.explode(_grams(F.col("text"))).alias("gram"))
     counts = stored(learned.groupBy("gram").agg(F.count(F.when(F.col("says") == "allow", 1)).alias("allow"), F.count(F.when(F.col("says") == "block", 1)).alias("block")))
