@@ -32,7 +32,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media(table(spark, sf_dir, "documents"))
+    return media.digests(media.media(table(spark, sf_dir, "documents")))
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

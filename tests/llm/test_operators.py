@@ -57,6 +57,39 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_bands_miss_no_pair_at_the_threshold():
+    """Recall of the candidates: pairs of sets at exactly 0.75 share a band."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (4, 8, 28, 140):
+        for _ in range(1500):
+            union = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            sets += [np.sort(union), np.sort(union[: 3 * n // 4])]
+    keys = minhash.min_max_bands(sets)
+    shared = (keys[::2] == keys[1::2]).sum(axis=1)
+    assert len(shared) == 6000 and shared.min() >= 1 and abs(shared.mean() - minhash.BANDS * 0.75**minhash.ROWS) < 0.5
+
+
+def test_near_duplicates_of_hot_elements(spark, monkeypatch):
+    """Many documents share their rarest words, in several components; repeated ids and null ids too."""
+    monkeypatch.setattr(minhash, "HOT", 3)
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(60)}" for _ in range(40)] for _ in range(3)]
+    base[1][:20], base[2][10:30] = base[0][:20], base[0][10:30]
+    texts = []
+    for _ in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(40)] = f"w{rng.randrange(60)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a, b in combinations(range(60), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components_of(60, links)
+    rows = [*enumerate(texts), (5, texts[5]), (None, texts[0])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 62 and {r.doc_id: r.component_id for r in got if r.doc_id is not None} == dict(enumerate(want)) and [r.kept for r in got if r.doc_id is None] == [True]
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -297,6 +330,44 @@ def test_pages_keep_content_that_recurs(spark):
     assert pages.extract(spark.createDataFrame(large, "page_id long, url string, html string")).filter("text like '%Ad block%'").count() == 0
 
 
+def test_url_scores_against_brute_force(spark, monkeypatch):
+    """Witten-Bell mixtures of whole URLs, worked out character by character; without broadcasts too."""
+    rng = random.Random(6)
+    rows = [f"http://h{rng.randrange(5)}.{rng.choice(['net', 'example.net', 'org', 'io'])}/{rng.choice(['en', 'fr', 'x'])}/{rng.randrange(40)}?q={rng.randrange(3)}" for _ in range(120)] + [None, "", "no scheme"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    hashed = {r.u: r.h for r in spark.createDataFrame([(u,) for u in set(rows) if u], "u string").select("u", F.pmod(F.xxhash64("u"), F.lit(5)).alias("h")).collect()}
+    judged = {r.page_id: r for r in urls.judge(df).collect()}
+    says = {rows[i]: r.verdict for i, r in judged.items() if r.rule}
+    models = {}
+    for c in ("allow", "block"):
+        models[c] = [{} for _ in range(urls.ORDER + 1)]
+        for u in {u for u in says if says[u] == c and hashed[u] != 0}:
+            t = urls.PAD * urls.ORDER + u
+            for i in range(urls.ORDER, len(t)):
+                for k in range(urls.ORDER + 1):
+                    own = models[c][k].setdefault(t[i - k : i], {})
+                    own[t[i]] = own.get(t[i], 0) + 1
+
+    def score(u):
+        t, total = urls.PAD * urls.ORDER + u, 0.0
+        for i in range(urls.ORDER, len(t)):
+            for c, sign in (("allow", 1), ("block", -1)):
+                p = 1 / urls.ALPHABET
+                for k in range(urls.ORDER + 1):
+                    if own := models[c][k].get(t[i - k : i]):
+                        n, kinds = sum(own.values()), len(own)
+                        p = (own.get(t[i], 0) + kinds * p) / (n + kinds)
+                total += sign * np.log(p)
+        return total / max(1, len(u))
+
+    free = {i: score(rows[i] or "") for i, r in judged.items() if r.rule is None}
+    assert len(free) > 20 and all(abs(judged[i].score - v) < 1e-9 for i, v in free.items())
+    monkeypatch.setattr(urls, "BROADCAST_GRAMS", 0)
+    again = {r.page_id: r for r in urls.judge(df).collect()}
+    assert all(again[i].verdict == r.verdict and abs((again[i].score or 0) - (r.score or 0)) < 1e-9 for i, r in judged.items())
+    assert urls.judge(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -331,21 +402,66 @@ def test_page_corners(spark):
 
 
 def test_media_round_trip(spark):
-    texts = ["", None, "x" * 64, "y" * 65, "é" * 5000, "y" * 65]
-    got = {r.doc_id: r for r in media.media(docs(spark, texts), with_media=True).collect()}
+    texts = ["", None, "x" * 64, "y" * 65, "é" * 5000, "y" * 65, "long words " * 60_000]
+    columns = media.media(docs(spark, texts))
+    files = {r.doc_id: r for r in columns.collect()}
+    got = {r.doc_id: r for r in media.digests(columns).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         full = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
-        r = got[i]
-        assert media.wave_payload(bytes(r.media)) == full and (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), hashlib.sha256(bytes(r.media)).hexdigest())
+        r, file = got[i], bytes(files[i].media)
+        assert media.wave_payload(file) == full and (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), hashlib.sha256(file).hexdigest())
+        mel = media.log_mel(np.frombuffer(full, np.uint8))
+        assert np.abs(media.frames(bytes(files[i].tensors)) - mel).max() < 0.01 and r.feature.startswith(f"{len(mel)}x{media.BANDS},") and r.n_segments == len(files[i].spans)
     assert got[3].feature == got[5].feature and got[0].feature == got[1].feature
+    assert media.digests(media.media(docs(spark, texts).limit(0))).count() == 0
+
+
+def slow_resampled(raw):
+    """Zero-stuffed by UP, filtered, every DOWN-th sample."""
+    x = np.zeros(len(raw) * media.UP)
+    x[:: media.UP] = (raw.astype(float) - 128) / 128
+    n = media.UP * media.TAPS
+    t = np.arange(n) - (n - 1) / 2
+    h = media.UP / max(media.UP, media.DOWN) * np.sinc(t / max(media.UP, media.DOWN)) * np.hamming(n)
+    return np.convolve(x, h)
+
+
+def test_log_mel_and_segments_against_brute_force():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 256, 4096).astype(np.uint8)
+    y = media.resampled(raw, 0, 3072)
+    lags = [np.abs(slow_resampled(raw)[k :: media.DOWN][: len(y)][100:2900] - y[100:2900]).max() for k in range(media.UP * media.TAPS)]
+    assert min(lags) < 1e-4
+    assert all(np.allclose(media.resampled(raw, lo, lo + 500), y[lo : lo + 500], atol=1e-6) for lo in (0, 7, 1001))
+    mel, (bank, window) = media.log_mel(raw), media._mel()
+    for k in (0, 3, len(mel) - 1):
+        frame = np.zeros(media.FRAME)
+        part = y[k * media.HOP : k * media.HOP + media.FRAME]
+        frame[: len(part)] = part
+        power = [abs(sum(frame * window * np.exp(-2j * np.pi * f * np.arange(media.FRAME) / media.FRAME))) ** 2 for f in range(media.FRAME // 2 + 1)]
+        assert np.allclose(np.log10(np.array(power) @ bank + 1e-6), mel[k], atol=1e-3)
+    long = rng.integers(0, 256, 4 * media.HOP * media.TOGETHER // 3 * 2).astype(np.uint8)
+    whole = media.log_mel(long)
+    assert np.allclose(whole[media.TOGETHER - 2 : media.TOGETHER + 2], media.log_mel(long)[media.TOGETHER - 2 : media.TOGETHER + 2]) and len(whole) > media.TOGETHER
+    for _ in range(50):
+        energy = rng.normal(0, 1, 40)
+        level, on, want = energy - energy.mean(), False, []
+        for i, v in enumerate(level):
+            now = True if v >= media.LOUD else False if v < media.QUIET else on
+            if now and not on:
+                want.append([i, i + 1])
+            elif now:
+                want[-1][1] = i + 1
+            on = now
+        assert media.segments(energy) == [tuple(x) for x in want]
 
 
 def test_resampling_keeps_a_tone():
     t = np.arange(8000) / media.RATE
-    y = media.resampled(np.sin(2 * np.pi * 440 * t).astype(np.float32))
-    peak = np.abs(np.fft.rfft(y[:6000])).argmax() * media.RATE * media.UP / media.DOWN / 6000
-    assert abs(peak - 440) < 5 and 0.8 < np.abs(y[1000:5000]).max() < 1.2
+    y = media.resampled((128 + 100 * np.sin(2 * np.pi * 440 * t)).astype(np.uint8), 0, 6000)
+    peak = np.abs(np.fft.rfft(y[:6000] - y[:6000].mean())).argmax() * media.RATE * media.UP / media.DOWN / 6000
+    assert abs(peak - 440) < 5 and 0.6 < np.abs(y[1000:5000]).max() < 1.0
 
 
 def test_licenses(spark):
