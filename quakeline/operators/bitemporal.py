@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -49,6 +51,19 @@ def apply_versions(store: DataFrame, new: DataFrame, keys: list[str], recorded_a
     return closed.unionByName(added)
 
 
+def load_source(store: DataFrame, new: DataFrame, keys: list[str], recorded_at: str, source: str, problems: DataFrame | None = None) -> DataFrame:
+    """The store after one source was read again: its rows are versioned, all other sources stay as they are.
+
+    With problems (rule, ...) of errors among them the load is refused as a whole. Both tables have a column source.
+    """
+    if problems is not None:
+        errors = [r.rule for r in problems.filter(F.col("rule").startswith("E")).select("rule").distinct().orderBy("rule").limit(20).collect()]
+        if errors:
+            raise ValueError(f"the load breaks {', '.join(errors)}; nothing was loaded")
+    own = F.col("source") == source
+    return store.filter(~own).unionByName(apply_versions(store.filter(own), new.filter(own), keys, recorded_at))
+
+
 def latest(rows: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
     """One row per key: the first in the given order, which must end in a unique column."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*newest_first))).filter("_n = 1").drop("_n")
@@ -78,26 +93,36 @@ def winners(rows: DataFrame, keys: list[str]) -> DataFrame:
     return latest(near, keys, F.asc("source_order"), F.desc("valid_from"), F.desc("row_id")).drop("_class", "_best", "_newest")
 
 
+def _ranked_class(days: list[int], order: list[tuple], n: int) -> list[int]:
+    """Places of the rows of one class, which come newest first. A heap holds those within reach of the newest one left."""
+    place, heap, taken, newest, ahead = [0] * len(days), [], [False] * len(days), 0, 0
+    for rank in range(n, n + len(days)):
+        while taken[newest]:
+            newest += 1
+        while ahead < len(days) and days[newest] - days[ahead] <= SAME_PERIOD_DAYS:
+            heapq.heappush(heap, (order[ahead], ahead))
+            ahead += 1
+        first = heapq.heappop(heap)[1]
+        taken[first], place[first] = True, rank
+    return place
+
+
 def precedence(rows: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of each key with rank_in_key, the winner first, then the winner of what is left, and so on.
 
-    A key has a row or two for each source, so its rows are ranked together in one small frame.
+    Classes follow each other. Within a class the reach of 90 days moves on with the newest row left, so a sweep over
+    the days with a heap ranks n rows in n log n steps; a key has some rows for each source, which are ranked together.
     """
     fields = T.StructType([*rows.schema, T.StructField("rank_in_key", T.IntegerType())])
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        days = pd.to_datetime(pdf.valid_from)
-        numbers = ((days - days.min()).dt.days).tolist()
-        classes = [2 * (not t) + (w == "bucket") for t, w in zip(pdf.trusted, pdf.weight_source, strict=True)]
-        left = sorted(range(len(pdf)), key=pdf.row_id.tolist().__getitem__, reverse=True)
-        sources, place = pdf.source_order.tolist(), [0] * len(pdf)
-        for n in range(1, len(pdf) + 1):
-            best = min(classes[i] for i in left)
-            newest = max(numbers[i] for i in left if classes[i] == best)
-            first = min((i for i in left if classes[i] == best and newest - numbers[i] <= SAME_PERIOD_DAYS), key=lambda i: (sources[i], -numbers[i]))
-            place[first] = n
-            left.remove(first)
-        return pdf.assign(rank_in_key=place)[[f.name for f in fields]]
+        cls = 2 * (~pdf.trusted.astype(bool)).astype(int) + (pdf.weight_source == "bucket").astype(int)
+        pdf = pdf.assign(_class=cls, _day=pd.to_datetime(pdf.valid_from)).sort_values(["_class", "_day", "row_id"], ascending=[True, False, False])
+        places: list[int] = []
+        for _, own in pdf.groupby("_class", sort=True):
+            days = (own._day - own._day.min()).dt.days.tolist()
+            places += _ranked_class(days, [(s, -d) for s, d in zip(own.source_order.tolist(), days, strict=True)], len(places) + 1)
+        return pdf.assign(rank_in_key=places)[[f.name for f in fields]]
 
     return rows.groupBy(*keys).applyInPandas(rank, fields)
 

@@ -6,14 +6,19 @@ unrolled on the driver (hops are few), which gives Catalyst one plan of joins an
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quakeline.functions.scalars import BACKWARD, FORWARD, MIN_CONFIDENCE, average_rank, node_type
+from quakeline.operators.scratch import stored
 
 HOPS = 5
 TINY = 1e-12
+#: Rankings of up to this number of rows are broadcast to the trials.
+BROADCAST_ROWS = 200_000
 
 
 def flow_edges(edges: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -87,51 +92,132 @@ def top_paths(flow: DataFrame, start: DataFrame, k: int = 3, hops: int = HOPS) -
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def reachable(flow: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """shock, node reached in one step or more, to the fixpoint; each round joins only what is new."""
-    from quakeline.operators.scratch import stored
+def reachable(flow: DataFrame, start: DataFrame, steps: int = 4) -> DataFrame:
+    """shock, node reached in one step or more, to the fixpoint.
 
-    new = stored(start.select("shock", "node").distinct())
-    seen, edges = None, flow.select("from_node", "to_node").distinct()
-    for _ in range(most):
-        step = new.join(edges, new["node"] == edges["from_node"]).select("shock", F.col("to_node").alias("node")).distinct()
-        new = stored(step if seen is None else step.join(seen, ["shock", "node"], "left_anti"))
-        if new.isEmpty():
-            break
+    Each round goes `steps` steps on from what is new and is stored; the loop ends when a round finds nothing, however
+    long that takes.
+    """
+    edges = stored(flow.select("from_node", "to_node").distinct())
+    new, seen = start.select("shock", "node").distinct(), None
+    while seen is None or not new.isEmpty():
+        found = front = None
+        for _ in range(steps):
+            front = new if front is None else front
+            front = front.join(edges, front["node"] == edges["from_node"]).select("shock", F.col("to_node").alias("node")).distinct()
+            found = front if found is None else found.union(front)
+        found = found.distinct()
+        new = stored(found if seen is None else found.join(seen, ["shock", "node"], "left_anti"))
         seen = new if seen is None else stored(seen.union(new))
-    return seen if seen is not None else new
+    return seen
+
+
+def trial_weights(flow: DataFrame, trials: int, spread: float = 0.2, seed: int = 7, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """flow with ws: the weight of each edge in every trial. Guessed weights are redrawn, all others stay.
+
+    With ranges a guess is drawn log-uniformly within the range that holds it, and stays if none does; without, it is
+    scaled by a factor that is uniform in 1 +- spread.
+    """
+    low = high = F.lit(None).cast("double")
+    for a, b in (ranges or {}).values():
+        holds = F.col("weight").between(a, b) & low.isNull()
+        low, high = F.when(holds, a).otherwise(low), F.when(holds, b).otherwise(high)
 
+    def weight(trial: Column) -> Column:
+        draw = F.pmod(F.xxhash64(trial, F.col("edge_id"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+        if ranges is None:
+            return F.col("w") * (1 + spread * (2 * draw - 1))
+        return F.when(low.isNull(), F.col("w")).otherwise(F.signum("w") * F.exp(F.log(low) + draw * (F.log(high) - F.log(low))))
 
-def jitter(flow: DataFrame, trials: int, spread: float, seed: int = 7, low: Column | None = None, high: Column | None = None) -> DataFrame:
-    """flow for each trial, with guessed weights scaled by a factor drawn from a hash of trial, edge and seed.
+    guessed = F.transform(F.sequence(F.lit(1), F.lit(trials)), weight)
+    return flow.withColumn("ws", F.when(F.col("weight_source") == "bucket", guessed).otherwise(F.array_repeat(F.col("w"), trials)))
 
-    low and high bound the weight (log-uniform between them); without them the factor is uniform in 1 +- spread.
+
+def trial_exposures(flow: DataFrame, start: DataFrame, hops: int = HOPS) -> DataFrame:
+    """shock, node, trial, e: exposure of companies in every trial of flow (with ws).
+
+    The trials of a node are one array, so a hop shuffles the graph once, however many trials there are. Arrays are
+    added up by place in one aggregate.
     """
-    draw = F.pmod(F.xxhash64("trial", "edge_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    factor = 1 + spread * (2 * draw - 1) if low is None else F.exp(F.log(low) + draw * (F.log(high) - F.log(low))) / F.col("weight")
-    each = flow.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    return each.withColumn("w", F.when(F.col("weight_source") == "bucket", F.col("w") * factor).otherwise(F.col("w")))
+    edges = flow.select("from_node", "to_node", "ws")
+    n = F.size("ws")
+    front, steps = start.select("shock", "node", F.col("x").cast("double").alias("x")), []
+    for hop in range(hops):
+        both = front.join(edges, front["node"] == edges["from_node"])
+        times = F.transform("ws", lambda w: w * F.col("x")) if hop == 0 else F.zip_with("xs", "ws", lambda x, w: x * w)
+        each = both.select("shock", F.col("to_node").alias("node"), F.posexplode(times).alias("trial", "x"), n.alias("n"))
+        sums = each.groupBy("shock", "node", "trial").agg(F.sum("x").alias("x"))
+        front = stored(sums.groupBy("shock", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("trial", "x"))), lambda t: t["x"]).alias("xs")))
+        steps.append(front.filter(F.col("node").startswith("company/")))
+    found = steps[0]
+    for s in steps[1:]:
+        found = found.unionByName(s)
+    return found.select("shock", "node", F.posexplode("xs").alias("trial", "e")).groupBy("shock", "node", "trial").agg(F.sum("e").alias("e"))
 
 
-def stability(flow: DataFrame, start: DataFrame, trials: int = 200, spread: float = 0.2, top: int = 10, hops: int = HOPS) -> DataFrame:
-    """shock, trial, spearman and overlap of the top ranking against the one without jitter; all trials in one plan."""
+def stability(flow: DataFrame, start: DataFrame, trials: int = 200, spread: float = 0.2, top: int = 10, hops: int = HOPS, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """shock, trial, node, r0, r, e0, e: rank and exposure of every company without jitter and in each trial."""
+    flow = stored(trial_weights(flow, trials, spread, ranges=ranges))
     base = company_exposures(flow, start, hops).select("shock", "node", F.col("exposure").alias("e0"), F.col("rank").alias("r0"))
-    runs = walk(jitter(flow, trials, spread), start.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))), hops, "trial")
-    runs = runs.filter(F.col("node").startswith("company/")).groupBy("shock", "trial", "node").agg(F.sum("x").alias("e"))
-    runs = runs.withColumn("r", F.row_number().over(W.partitionBy("shock", "trial").orderBy(F.desc(F.abs("e")), "node")))
-    pairs = runs.join(base, ["shock", "node"])
-    best = pairs.filter(F.col("r0") <= top).withColumns({"a": F.abs("e0"), "b": F.abs("e")})
-    ranked = best.withColumns({"ra": average_rank("a", "shock", "trial"), "rb": average_rank("b", "shock", "trial")})
-    return ranked.groupBy("shock", "trial").agg(F.corr("ra", "rb").alias("spearman"), F.count(F.when(F.col("r") <= top, 1)).alias("overlap"), F.percentile(F.abs(F.col("r") - F.col("r0")), F.lit(0.5)).alias("median_shift"))
+    # sizes are compared to twelve digits: sums of doubles depend on their order
+    size = F.desc(F.round(F.abs("e"), 12))
+    runs = trial_exposures(flow, start, hops).withColumn("r", F.row_number().over(W.partitionBy("shock", "trial").orderBy(size, "node")))
+    return stored(runs.join(F.broadcast(base) if base.count() <= BROADCAST_ROWS else base, ["shock", "node"]))
+
+
+def by_trial(ranked: DataFrame, top: int = 10) -> DataFrame:
+    """shock, trial, spearman and overlap of the top group against the ranking without jitter, kendall over all companies."""
+    best = ranked.filter(F.col("r0") <= top).withColumns({"a": F.round(F.abs("e0"), 12), "b": F.round(F.abs("e"), 12)})
+    best = best.withColumns({"ra": average_rank("a", "shock", "trial"), "rb": average_rank("b", "shock", "trial")})
+    tops = best.groupBy("shock", "trial").agg(F.corr("ra", "rb").alias("spearman"), F.count(F.when(F.col("r") <= top, 1)).alias("overlap"))
+    tau = kendall_tau(ranked, "r0", "r", "shock", "trial").withColumnRenamed("tau", "kendall")
+    return tops.join(tau, ["shock", "trial"])
+
+
+def sensitivity(flow: DataFrame, start: DataFrame, trials: int = 200, spread: float = 0.2, top: int = 10, hops: int = HOPS, ranges: dict[str, tuple[float, float]] | None = None, least_stable: int = 5) -> DataFrame:
+    """shock, trials, medians over trials of spearman and overlap of the top group and of Kendall's tau over all companies,
+    and the least stable companies with their mean shift of rank, the largest first."""
+    ranked = stability(flow, start, trials, spread, top, hops, ranges)
+    middle = lambda c: F.percentile(c, F.lit(0.5)).alias(f"median_{c}")
+    medians = by_trial(ranked, top).groupBy("shock").agg(F.count("*").alias("trials"), middle("spearman"), middle("kendall"), middle("overlap"))
+    shifts = ranked.groupBy("shock", "node").agg(F.avg(F.abs(F.col("r") - F.col("r0"))).alias("shift"))
+    placed = shifts.withColumn("place", F.row_number().over(W.partitionBy("shock").orderBy(F.desc("shift"), "node"))).filter(F.col("place") <= least_stable)
+    listed = placed.groupBy("shock").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "node", "shift"))), lambda x: F.struct(x["node"].alias("node"), x["shift"].alias("shift"))).alias("least_stable"))
+    return medians.join(listed, "shock")
 
 
 def kendall_tau(ranks: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
-    """tau-b of columns a and b within keys; groups are bounded rankings."""
-    left, right = ranks.select(*keys, F.col(a).alias("a1"), F.col(b).alias("b1")), ranks.select(*keys, F.col(a).alias("a2"), F.col(b).alias("b2"))
-    pairs = left.join(right, list(keys)) if keys else left.join(right)
-    sa, sb = F.signum(F.col("a1") - F.col("a2")), F.signum(F.col("b1") - F.col("b2"))
-    sums = pairs.groupBy(*keys).agg(F.sum(sa * sb).alias("s"), F.sum(sa * sa).alias("na"), F.sum(sb * sb).alias("nb"))
-    return sums.select(*keys, F.try_divide("s", F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+    """tau-b of columns a and b within keys, which are needed. A group is one ranking, held as one sorted array.
+
+    Pairs in disorder are counted by merging sorted runs in a pandas function: n log n steps, no pairs are made.
+    """
+
+    def tau(x: pd.Series, y: pd.Series) -> float:
+        return tau_b(x.to_numpy(float), y.to_numpy(float))
+
+    value = F.pandas_udf(tau, "double")
+    return ranks.groupBy(*keys).agg(value(a, b).alias("tau"))
+
+
+def _pairs_tied(values: np.ndarray) -> int:
+    n = np.unique(values, axis=0, return_counts=True)[1].astype(np.int64)
+    return int((n * (n - 1) // 2).sum())
+
+
+def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Kendall's tau-b of two columns; None where one of them is constant."""
+    n = len(x)
+    order = np.lexsort((y, x))
+    values, swaps, width = np.unique(y[order], return_inverse=True)[1], 0, 1
+    while width < n:  # runs of `width` are sorted; a pair in disorder has its greater value in the run before
+        for lo in range(0, n - width, 2 * width):
+            left, right = values[lo : lo + width], values[lo + width : lo + 2 * width]
+            swaps += int((len(left) - np.searchsorted(left, right, "right")).sum())
+            values[lo : lo + 2 * width] = np.sort(np.concatenate((left, right)), kind="stable")
+        width *= 2
+    total, tx, ty = n * (n - 1) // 2, _pairs_tied(x), _pairs_tied(y)
+    scale = ((total - tx) * (total - ty)) ** 0.5
+    return (total - tx - ty + _pairs_tied(np.stack((x, y), axis=1)) - 2 * swaps) / scale if scale else None
 
 
 def flow_view(paths: DataFrame) -> DataFrame:

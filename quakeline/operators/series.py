@@ -108,6 +108,28 @@ def trending(found: DataFrame, as_of: str, window: int = 90) -> DataFrame:
     return found.filter((F.col("end") >= F.date_sub(F.lit(as_of).cast("date"), window)) & (F.col("start") <= F.lit(as_of).cast("date"))).orderBy(F.desc("peak"), "key", "start")
 
 
+def unmeasured(keys: DataFrame, coverage: DataFrame, stats: DataFrame, as_of: str, window: int = 90) -> DataFrame:
+    """key, reason of the keys that trending can't judge: no coverage at all, too few days for a baseline, or none in the window."""
+    held = coverage.groupBy("key").agg(F.count("*").alias("days"))
+    judged = stats.groupBy("key").agg(F.max(F.col("day").between(F.date_sub(F.lit(as_of).cast("date"), window), F.lit(as_of).cast("date"))).alias("recent"))
+    each = keys.select("key").distinct().join(held, "key", "left").join(judged, "key", "left")
+    reason = F.when(F.col("days").isNull(), "no coverage").when(F.col("recent").isNull(), "too few days").when(~F.col("recent"), "no days in the window")
+    return each.select("key", reason.alias("reason")).filter("reason is not null")
+
+
+def event_report(hits: DataFrame, least_rate: float = 0.6) -> DataFrame:
+    """events, hit_rate, exact_hit_rate, flag_precision, met over hits (hit, approximate, reversal, tone_flag).
+
+    Rates of nothing are 0. Of the events that a burst matched, the flag is right if it fires on reversals only; the
+    precision of no match is null.
+    """
+    rate = lambda flag, of: F.coalesce(F.avg(F.when(of, flag.cast("int"))), F.lit(0.0))
+    hit, true = F.col("hit"), F.lit(True)
+    right = F.coalesce("tone_flag", F.lit(False)) == F.col("reversal")
+    out = hits.agg(F.count("*").alias("events"), rate(hit, true).alias("hit_rate"), rate(hit, ~F.col("approximate")).alias("exact_hit_rate"), F.avg(F.when(hit, right.cast("int"))).alias("flag_precision"))
+    return out.withColumn("met", F.col("hit_rate") >= least_rate)
+
+
 def calibration(stats: DataFrame, thresholds: list[float]) -> DataFrame:
     """threshold, bursts, rate (bursts per key and year) for each threshold, all in one plan over the same statistics."""
     grid = stats.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")

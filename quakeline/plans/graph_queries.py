@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quakeline.functions.scalars import midrank
 from quakeline.operators import graph as G
+from quakeline.operators.scratch import stored
 from quakeline.sources import binding as B
 
 HOPS = 4
@@ -26,7 +27,8 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _flow(spark: SparkSession, sf_dir: str, least: float = 0.5) -> DataFrame:
-    return G.flow_edges(B.graph_edges(spark, sf_dir), least)
+    """The graph, stored: each hop reads it again, and it is small beside the tables it comes from."""
+    return stored(G.flow_edges(B.graph_edges(spark, sf_dir), least))
 
 
 @query("SELECT f AS from_node, t AS to_node, round(w, 6) AS w, edge_id, weight_source FROM flow")
@@ -122,16 +124,25 @@ def q_edge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.graph_edges(spark, sf_dir).select("src", "rel", "dst", "edge_id")
 
 
-@query("SELECT shock, CAST(1 AS DOUBLE) AS spearman, least(count(*), 10) AS overlap FROM ranked GROUP BY shock")
+@query("SELECT shock, CAST(5 AS BIGINT) AS trials, CAST(1 AS DOUBLE) AS spearman, CAST(1 AS DOUBLE) AS kendall, CAST(least(count(*), 10) AS DOUBLE) AS overlap, CAST(0 AS DOUBLE) AS shift FROM ranked GROUP BY shock")
 def q_sensitivity_flat0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.stability(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), 5, 0.0, 10, HOPS)
-    return found.groupBy("shock").agg(F.round(F.avg("spearman"), 9).alias("spearman"), F.max("overlap").alias("overlap"))
+    found = G.sensitivity(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), 5, 0.0, 10, HOPS)
+    shift = F.aggregate("least_stable", F.lit(0.0), lambda a, x: a + x["shift"])
+    return found.select("shock", "trials", F.round("median_spearman", 9).alias("spearman"), F.round("median_kendall", 9).alias("kendall"), F.col("median_overlap").alias("overlap"), shift.alias("shift"))
+
+
+#: Ranges of the buckets of guessed weights.
+RANGES = {"minor": (0.0001, 0.05), "some": (0.05, 0.2), "major": (0.2, 0.5), "most": (0.5, 1.0)}
 
 
 @query()
 def q_sensitivity_200(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.stability(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), 200, 0.2, 10, HOPS)
-    return found.groupBy("shock").agg(F.round(F.avg("spearman"), 6).alias("spearman"), F.round(F.avg("overlap"), 6).alias("overlap"), F.percentile("median_shift", F.lit(0.5)).alias("median_shift"))
+    return G.sensitivity(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), 200, 0.2, 10, HOPS)
+
+
+@query()
+def q_sensitivity_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.sensitivity(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), 200, 0.2, 10, HOPS, RANGES)
 
 
 _ATTENTION = """, att AS (SELECT 'company/' || l_suppkey AS node, count(*) AS matched FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),

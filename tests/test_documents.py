@@ -1,7 +1,10 @@
 """XBRL, sections, names, payloads, records and streaming."""
 
 import json
+import random
+import time
 from datetime import date
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,23 +19,48 @@ INSTANCE = """<xbrli:xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:
 <xbrli:unit id="usd"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>{contexts}{facts}</xbrli:xbrl>"""
 
 
-def instance(lines):
+def instance(lines, start="2023-02-01", end="2024-01-31"):
     contexts, facts = [], []
     for i, (dims, value) in enumerate(lines):
         members = "".join(f'<xbrldi:explicitMember dimension="{a}">{m}</xbrldi:explicitMember>' for a, m in dims)
-        contexts.append(f'<xbrli:context id="c{i}"><xbrli:entity><xbrli:segment>{members}</xbrli:segment></xbrli:entity><xbrli:period><xbrli:startDate>2025-07-01</xbrli:startDate><xbrli:endDate>2026-06-30</xbrli:endDate></xbrli:period></xbrli:context>')
+        contexts.append(f'<xbrli:context id="c{i}"><xbrli:entity><xbrli:segment>{members}</xbrli:segment></xbrli:entity><xbrli:period><xbrli:startDate>{start}</xbrli:startDate><xbrli:endDate>{end}</xbrli:endDate></xbrli:period></xbrli:context>')
         facts.append(f'<us-gaap:Revenues contextRef="c{i}" unitRef="usd">{value}</us-gaap:Revenues>')
     return INSTANCE.format(contexts="".join(contexts), facts="".join(facts)).encode()
 
 
 def test_revenue(spark):
-    axis = "srt:ProductOrServiceAxis"
-    data = instance([((), 1000), (((axis, "x:A"),), 500), (((axis, "x:B"),), 300), (((axis, "x:C"),), 200), (((axis, "us-gaap:ProductMember"),), 800), (((axis, "x:A"), ("srt:StatementGeographicalAxis", "country:US")), 100)])
-    found = X.facts(spark.createDataFrame([("f", bytearray(data))], "filing string, content binary"))
+    axis = "us-gaap:StatementBusinessSegmentsAxis"
+    parts = {"own:Farm": 257.5, "own:Garden": 162.5, "own:Forest": 80.0, "own:Rental": 140.0}
+    lines = [((), 640), *((((axis, m),), v) for m, v in parts.items()), (((axis, "own:Outdoors"),), 242.5), (((axis, "own:Farm"), ("srt:StatementGeographicalAxis", "country:PT")), 31)]
+    found = X.facts(spark.createDataFrame([("f", bytearray(instance(lines)))], "filing string, content binary"))
     totals = X.revenue_totals(found)
-    assert [(r.total, r.start, r.currency) for r in totals.collect()] == [(1000.0, date(2025, 7, 1), "USD")]
-    lines = X.breakdowns(X.axis_values(found, totals)).collect()
-    assert {r.member: r.share for r in lines} == {"x:A": 0.5, "x:B": 0.3, "x:C": 0.2} and all(r.complete for r in lines)
+    assert [(r.total, r.start, r.end, r.currency) for r in totals.collect()] == [(640.0, date(2023, 2, 1), date(2024, 1, 31), "USD")]
+    got = X.breakdowns(X.axis_values(found, totals)).collect()
+    assert {r.member: r.share for r in got} == {m: pytest.approx(v / 640) for m, v in parts.items()} and all(r.complete and r.kind == "segment" for r in got)
+
+
+def test_lines_without_aggregates_against_all_subsets():
+    """An aggregate goes if other lines add up to it; else the largest set that adds up stays."""
+    rng = random.Random(12)
+    for _ in range(200):
+        parts = {f"{'own' if rng.random() < 0.6 else 'us-gaap'}:{chr(97 + i)}": float(rng.randint(5, 60)) for i in range(rng.randint(2, 6))}
+        lines, total = dict(parts), sum(parts.values())
+        if len(parts) > 2 and rng.random() < 0.7:
+            lines["us-gaap:Sum"] = sum(list(parts.values())[:2])
+        if rng.random() < 0.4:
+            lines["own:Noise"] = 1000.0 + rng.random()
+        kept, dropped = X.partition_lines(lines, total)
+        assert set(kept) | set(dropped) == set(lines) and not set(kept) & set(dropped) and all(kept[m] == lines[m] for m in kept)
+        sets = [c for k in range(2, len(lines) + 1) for c in combinations(lines, k) if abs(sum(lines[m] for m in c) - total) <= X.COMPLETE * total]
+        alike = lambda m: any(abs(sum(lines[x] for x in c) - lines[m]) <= 2 * X.AGGREGATE * lines[m] for k in range(2, len(lines)) for c in combinations([x for x in lines if x != m], k))  # noqa: B023, E731
+        if sets and not any(map(alike, parts)):  # no part is a sum by chance
+            assert X.adds_up(list(kept.values()), total)
+
+
+def test_many_lines_take_no_time():
+    lines = {f"own:{i}": 3.0**0.5 * (i + 1) for i in range(20)}
+    began = time.perf_counter()
+    assert set(X.partition_lines(lines, 1e6)[0]) <= set(lines) and time.perf_counter() - began < 5
 
 
 def test_votes_and_mapping(spark):
@@ -45,22 +73,52 @@ def test_votes_and_mapping(spark):
 
 
 def test_sections_and_text(spark):
-    body = "Item 1. Business 4\nItem 1. Business\n" + "x " * 1500 + "\nItem 1A. Risk Factors\n" + "y " * 1500
-    docs = spark.createDataFrame([(1, body, "10-K"), (2, "nothing here", "10-K"), (3, "", "10-K")], "doc_id long, text string, form string")
+    body = "ITEM 1 Our farms 12\nITEM 7 Results 30\nItem 1: Our farms\n" + "plough " * 500 + "\nItem 7 - Results\n" + "harvest " * 400
+    docs = spark.createDataFrame([(1, body, "10-K"), (2, "no items in here", "10-K"), (3, "", "10-K"), (4, body, "another form"), (5, body, None)], "doc_id long, text string, form string")
     found = sorted((r.doc_id, r.name, r.fallback) for r in D.sections(docs).collect())
-    assert found == [(1, "1", False), (1, "1A", False), (2, "part-1", True)]
-    html = spark.createDataFrame([("<head>no</head><p>a&amp;b <b>c</b></p><script>x</script><div> d </div>",)], "h string")
-    assert html.select(D.plain_text(F.col("h"))).first()[0] == "a&b c\nd"
+    assert found == [(1, "1", False), (1, "7", False), (2, "part-1", True), (4, "1", False), (4, "7", False), (5, "1", False), (5, "7", False)]
+    html = spark.createDataFrame([("<style>no</style><h2>Sales &lt; costs</h2><table><tr><td>one</td><td>2&nbsp;3</td></tr></table><p>\t4 <br/>5 < 6<i> x</i>",), (None,)], "h string")
+    assert [r[0] for r in html.select(D.plain_text(F.col("h"))).collect()] == ["Sales < costs\none 2 3\n4\n5 < 6 x", None]
+
+
+def test_chunks_against_characters(spark):
+    """Spans of at most n characters that end before the last line end in reach, found character by character."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab\n") if rng.random() < 0.25 else "x" for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["", "y" * 50, "\n" * 30, "z" * 10, "z" * 10 + "\n", "\n" + "w" * 25]
+
+    def want(text, n):
+        out, lo = [], 0
+        while lo < len(text):
+            hi = min(lo + n, len(text))
+            if hi < len(text) and "\n" in text[lo + 1 : hi]:
+                hi = lo + 1 + text[lo + 1 : hi].rindex("\n")
+                out.append((lo, hi))
+                lo = hi + 1
+            else:
+                out.append((lo, hi))
+                lo = hi
+        return out
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", D.chunks(F.col("t"), 10).alias("c")).collect()
+    for r in rows:
+        spans, text = [tuple(x) for x in r.c], r.t
+        assert "".join(text[a:b] for a, b in spans).replace("\n", "") == text.replace("\n", "") and all(b - a <= 10 for a, b in spans)
+        assert len(spans) <= len(want(text, 10)) + text.count("\n")
+        if "\n\n" not in text and not text.startswith("\n") and max(map(len, text.split("\n"))) < 10:
+            assert spans == want(text, 10)
 
 
 def test_quotes_names_and_exposures(spark):
-    q = spark.createDataFrame([("We  grew\nfast", "WE grew fast"), ("x", "y")], "t string, q string").select(D.locate_quote("t", "q").alias("at")).select("at.*").collect()
-    assert [tuple(r) for r in q] == [(0, 13), (None, None)]
-    n = spark.createDataFrame([("Dell Inc.", "country:US", "Rest of Asia", "0.90", "x:DataCenterMember")], "a string, m string, l string, w string, c string")
-    row = n.select(D.company_name(F.col("a")), D.region_id(F.col("m"), F.lit("United States")), D.region_id(F.col("m"), F.col("l")), D.exposure_holds(F.col("w"), F.lit(0.904)), D.exposure_holds(F.col("w"), F.lit(-0.9)), D.member_label(F.col("c"))).first()
-    assert tuple(row) == ("Dell", "region/us", None, True, False, "Data Center")
-    s = spark.createDataFrame([(1, "TSMC", "Taiwan Semiconductor"), (2, "Intel", "Intel")], "id int, label string, name string")
-    assert [r.id for r in D.search(s, "intel").collect()] == [2]
+    rows = [("Sales  of tractors\n rose (again) by Élan", "of TRACTORS rose (AGAIN) by élan", (7, 40)), ("nothing", "else", None), ("𝒳 some words", "some  words", (2, 12)), ("a.b", "a b", None), (r"x \E y", r"\E y", (2, 6)), ("text", " ", None), (None, "q", None)]
+    got = spark.createDataFrame([(t, q) for t, q, _ in rows], "t string, q string").select(D.locate_quote("t", "q").alias("at")).collect()
+    assert [r.at and tuple(r.at) for r in got] == [x for _, _, x in rows]
+    n = spark.createDataFrame([("Ploughworks Holdings plc", "country:PT", "Outside Europe", "0.370", "own:TractorsAndPumpsMember", "Iberia & Madeira")], "a string, m string, l string, w string, c string, g string")
+    row = n.select(D.company_name(F.col("a")), D.region_id(F.col("m"), F.lit("Portugal")), D.region_id(F.col("m"), F.col("l")), D.region_id(F.lit("own:IberiaMember"), F.col("g")), D.exposure_holds(F.col("w"), F.lit(0.3704)), D.exposure_holds(F.col("w"), F.lit(-0.37)), D.member_label(F.col("c"))).first()
+    assert tuple(row) == ("Ploughworks", "region/pt", None, "region/iberia-madeira", True, False, "Tractors And Pumps")
+    s = spark.createDataFrame([(1, "PLW", "Ploughworks International"), (2, "Springs", "Springs")], "id int, label string, name string")
+    assert [r.id for r in D.search(s, "springs").collect()] == [2]
+    said = spark.createDataFrame([("rose to 12.4% of sales", 0.12, True), ("about 40 per cent", 0.41, False), ("no figure", 0.1, False)], "q string, share double, ok boolean")
+    assert said.filter(D.number_in_quote(F.col("q"), F.col("share")) != F.col("ok")).count() == 0
 
 
 def test_payloads(spark, tmp_path):
