@@ -84,14 +84,19 @@ def simple_paths(flow: DataFrame, start: DataFrame, hops: int = HOPS) -> DataFra
     return out
 
 
-def top_paths(flow: DataFrame, start: DataFrame, k: int = 3, hops: int = HOPS) -> DataFrame:
-    """The k strongest simple paths to every company; ties by the path's text."""
-    found = simple_paths(flow, start, hops).filter(F.col("node").startswith("company/")).withColumn("route", F.array_join("path", ">"))
+def strongest(paths: DataFrame, k: int) -> DataFrame:
+    """The k strongest paths of each (shock, node), with place and route; ties by the path's text."""
+    found = paths.withColumn("route", F.array_join("path", ">"))
     # sizes are compared to twelve digits, as sums and products of doubles depend on their order
     order = W.partitionBy("shock", "node").orderBy(F.desc(F.round(F.abs("contribution"), 12)), "route")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def top_paths(flow: DataFrame, start: DataFrame, k: int = 3, hops: int = HOPS) -> DataFrame:
+    """The k strongest simple paths to every company; ties by the path's text."""
+    return strongest(simple_paths(flow, start, hops).filter(F.col("node").startswith("company/")), k)
+
+
 def reachable(flow: DataFrame, start: DataFrame, steps: int = 4) -> DataFrame:
     """shock, node reached in one step or more, to the fixpoint.
 

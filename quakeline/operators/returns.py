@@ -10,6 +10,8 @@ from quakeline.functions.scalars import average_rank
 
 SLACK = 5
 PRICED_IN_DAYS, PRICED_IN_LEAST = 60, 40
+#: Days that are broadcast as bounds of a window.
+MOST_DAYS = 100_000
 
 
 def calendar(prices: DataFrame, listing: str) -> DataFrame:
@@ -19,12 +21,24 @@ def calendar(prices: DataFrame, listing: str) -> DataFrame:
 
 
 def windows(detections: DataFrame, days: DataFrame, horizon: int) -> DataFrame:
-    """event, detected, start, end: horizon trading days after the first one that follows; none if the calendar ends before."""
-    after = detections.join(F.broadcast(days), F.col("day") > F.col("detected"), "inner").groupBy("event", "detected").agg(F.min("idx").alias("i"))
+    """event, detected, start, end: horizon trading days after the first one that follows; none if the calendar ends before.
+
+    Every date between two trading days is named after the second of them, so that detections meet them by equality.
+    """
+    led = days.withColumn("before", F.coalesce(F.lag("day").over(W.orderBy("day")), F.date_sub("day", 1)))
+    led = led.select("idx", F.explode(F.sequence("before", F.date_sub("day", 1))).alias("detected"))
+    first = days.agg(F.min("day").alias("first"))  # one row
+    each = detections.crossJoin(F.broadcast(first)).withColumn("at", F.greatest("detected", F.date_sub("first", 1))).drop("first")
+    after = each.join(led.select(F.col("idx").alias("i"), F.col("detected").alias("at")), "at").drop("at")
     a, b = days.select(F.col("idx").alias("i"), F.col("day").alias("start")), days.select(F.col("idx").alias("j"), F.col("day").alias("end"))
     return after.join(a, "i").join(b, F.col("i") + horizon == F.col("j")).select("event", "detected", "start", "end")
 
 
+def last_days(days: DataFrame, as_of: str, n: int = PRICED_IN_DAYS) -> DataFrame:
+    """day: the last n trading days of a calendar up to as_of."""
+    return days.filter(F.col("day") <= F.lit(as_of).cast("date")).orderBy(F.desc("day")).limit(n).select("day")
+
+
 def as_of(left: DataFrame, rows: DataFrame, key: str, at: str, value: str, name: str, slack: int = SLACK) -> DataFrame:
     """left with name: value of the last row of its key on or before column at, within slack days.
 
@@ -77,8 +91,13 @@ def daily_abnormal(priced: DataFrame, first: str | None = None, last: str | None
     return r.withColumn("abnormal", F.col("r") - F.avg("r").over(W.partitionBy("day"))).select("listing", "day", "abnormal")
 
 
-def priced_in(abnormal: DataFrame, shares: DataFrame, least: int = PRICED_IN_LEAST) -> DataFrame:
-    """key, listing, rho: rank correlation of daily abnormal returns with coverage shares; null for few or constant days."""
+def priced_in(abnormal: DataFrame, shares: DataFrame, least: int = PRICED_IN_LEAST, within: DataFrame | None = None) -> DataFrame:
+    """key, listing, rho: rank correlation of daily abnormal returns with coverage shares; null for few or constant days.
+
+    within (day) bounds the days, as `last_days` gives them.
+    """
+    if within is not None:
+        abnormal = abnormal.join(F.broadcast(within) if within.count() <= MOST_DAYS else within, "day", "left_semi")
     pairs = abnormal.join(shares.select("key", "day", "share"), "day")
     ranked = pairs.withColumns({"ra": average_rank("abnormal", "key", "listing"), "rs": average_rank("share", "key", "listing")})
     agg = ranked.groupBy("key", "listing").agg(F.corr("ra", "rs").alias("rho"), F.count("*").alias("n"), F.min("abnormal").alias("a0"), F.max("abnormal").alias("a1"), F.min("share").alias("s0"), F.max("share").alias("s1"))

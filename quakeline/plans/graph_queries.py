@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeline.functions.scalars import midrank
+from quakeline.operators import attention as A
+from quakeline.operators import exposure as X
 from quakeline.operators import graph as G
 from quakeline.operators.scratch import stored
 from quakeline.sources import binding as B
@@ -92,26 +93,70 @@ def q_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reachable(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir)).groupBy("shock").agg(F.count("*").alias("nodes"), F.count(F.when(F.col("node").startswith("company/"), 1)).alias("companies"))
 
 
-@query("SELECT src, count(*) AS products, round(sum(weight), 6) AS mapped_share, round(sum(CASE WHEN confidence >= 0.5 THEN weight ELSE 0 END), 6) AS propagating_share, count(*) FILTER (WHERE weight_source = 'bucket') AS guessed FROM edges WHERE rel = 'PRODUCES' GROUP BY src")
+_ALL = """, more AS (SELECT src, rel, dst, weight, edge_id, weight_source, confidence FROM edges
+  UNION ALL SELECT 'company/' || s_suppkey, 'SUPPLIES', 'company/' || (s_suppkey * 7 % 100 + 1), s_acctbal / 20000, 'x-' || s_suppkey, 'filing', 0.9 FROM supplier
+  UNION ALL SELECT 'company/' || s_suppkey, 'SUBSIDIARY_OF', 'company/' || (s_nationkey + 1), 1.0, 'y-' || s_suppkey, 'filing', 0.3 FROM supplier
+  UNION ALL SELECT 'company/' || s_suppkey, 'EXPOSED_TO', 'region/' || s_nationkey, 0.5, 'z-' || s_suppkey, 'bucket', 0.7 FROM supplier),
+sides AS (SELECT src AS company, CASE rel WHEN 'PRODUCES' THEN 'mix' WHEN 'SUPPLIES' THEN 'customers' WHEN 'SUBSIDIARY_OF' THEN 'parents' ELSE 'regions' END AS grp, dst AS other, * FROM more WHERE src LIKE 'company/%'
+  UNION ALL SELECT dst, CASE rel WHEN 'SUPPLIES' THEN 'suppliers' ELSE 'subsidiaries' END, src, * FROM more WHERE rel IN ('SUPPLIES', 'SUBSIDIARY_OF'))
+"""
+
+
+def _more_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph with supplies, owners and regions, which the tables imply."""
+    s, firm = B.read(spark, sf_dir, "supplier"), F.concat(F.lit("company/"), "s_suppkey").alias("src")
+    extra = [
+        s.select(firm, F.lit("SUPPLIES").alias("rel"), F.concat(F.lit("company/"), F.col("s_suppkey") * 7 % 100 + 1).alias("dst"), (F.col("s_acctbal") / 20000).alias("weight"), F.concat(F.lit("x-"), "s_suppkey").alias("edge_id"), F.lit("filing").alias("weight_source"), F.lit(0.9).alias("confidence")),
+        s.select(firm, F.lit("SUBSIDIARY_OF").alias("rel"), F.concat(F.lit("company/"), F.col("s_nationkey") + 1).alias("dst"), F.lit(1.0).alias("weight"), F.concat(F.lit("y-"), "s_suppkey").alias("edge_id"), F.lit("filing").alias("weight_source"), F.lit(0.3).alias("confidence")),
+        s.select(firm, F.lit("EXPOSED_TO").alias("rel"), F.concat(F.lit("region/"), "s_nationkey").alias("dst"), F.lit(0.5).alias("weight"), F.concat(F.lit("z-"), "s_suppkey").alias("edge_id"), F.lit("bucket").alias("weight_source"), F.lit(0.7).alias("confidence")),
+    ]
+    out = B.graph_edges(spark, sf_dir).select("src", "rel", "dst", "weight", "edge_id", "weight_source", "confidence")
+    for e in extra:
+        out = out.unionByName(e)
+    return out
+
+
+@query(_ALL + """SELECT 'company/' || s_suppkey AS company, count(*) FILTER (WHERE grp = 'mix') AS products, round(coalesce(sum(weight) FILTER (WHERE grp = 'mix' AND confidence >= 0.5), 0.0), 6) AS mapped_share,
+  count(*) FILTER (WHERE grp = 'mix' AND weight_source = 'bucket') AS guessed, count(*) FILTER (WHERE grp = 'customers') AS customers, count(*) FILTER (WHERE grp = 'suppliers') AS suppliers, count(*) FILTER (WHERE grp = 'parents') AS parents,
+  count(*) FILTER (WHERE grp = 'subsidiaries') AS subsidiaries, count(*) FILTER (WHERE grp = 'regions') AS regions FROM supplier LEFT JOIN sides ON company = 'company/' || s_suppkey GROUP BY ALL""")
 def q_company_profile_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = B.graph_edges(spark, sf_dir).filter("rel = 'PRODUCES'")
-    return own.groupBy("src").agg(
-        F.count("*").alias("products"), F.round(F.sum("weight"), 6).alias("mapped_share"), F.round(F.sum(F.when(F.col("confidence") >= 0.5, F.col("weight")).otherwise(0.0)), 6).alias("propagating_share"), F.count(F.when(F.col("weight_source") == "bucket", 1)).alias("guessed")
-    )
+    firms = B.read(spark, sf_dir, "supplier").select(F.concat(F.lit("company/"), "s_suppkey").alias("node"))
+    return X.profile(_more_edges(spark, sf_dir), firms).withColumn("mapped_share", F.round("mapped_share", 6))
 
 
-@query("""SELECT src AS company, dst AS node, round(weight, 6) AS weight, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(weight, 12) DESC, edge_id) AS place FROM edges WHERE rel = 'PRODUCES') WHERE place <= 5""")
+@query(_ALL + """SELECT company, grp AS "group", other, round(weight, 6) AS weight, confidence >= 0.5 AS propagates, CAST(place AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY company, grp ORDER BY round(weight, 12) DESC, edge_id) AS place FROM sides)""")
 def q_company_profile_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    own = B.graph_edges(spark, sf_dir).filter("rel = 'PRODUCES'").withColumn("place", F.row_number().over(W.partitionBy("src").orderBy(F.desc(F.round("weight", 12)), "edge_id")))
-    return own.filter("place <= 5").select(F.col("src").alias("company"), F.col("dst").alias("node"), F.round("weight", 6).alias("weight"), "place")
+    return X.neighbours(_more_edges(spark, sf_dir)).select("company", "group", "other", F.round("weight", 6).alias("weight"), "propagates", "place")
 
 
-@query("SELECT node AS company, shock AS theme, round(exposure, 8) AS exposure FROM ranked WHERE rank <= 10")
+@query(_PATHS + """, sized AS (SELECT *, count(*) OVER (PARTITION BY shock) AS n FROM ranked)
+SELECT r.node AS company, r.shock AS theme, round(exposure, 8) AS exposure, CAST(rank AS INTEGER) AS rank, r.n AS "of", route, CAST(row_number() OVER (PARTITION BY r.node ORDER BY round(abs(exposure), 12) DESC, r.shock) AS INTEGER) AS place
+FROM sized r LEFT JOIN placed p ON p.shock = r.shock AND p.node = r.node AND p.place = 1""")
 def q_company_profile_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.company_exposures(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), HOPS).filter("rank <= 10")
-    return found.select(F.col("node").alias("company"), F.col("shock").alias("theme"), F.round("exposure", 8).alias("exposure"))
+    return X.profile_themes(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), HOPS).withColumn("exposure", F.round("exposure", 8))
+
+
+@query(_PATHS.replace("LIKE 'company/%'", "LIKE 'material/%'") + "SELECT shock AS from_node, node AS to_node, route, round(c, 9) AS contribution, round(conf, 6) AS confidence, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 2")
+def q_explain_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow = _flow(spark, sf_dir)
+    ends = flow.select(F.col("to_node")).filter(F.col("to_node").startswith("material/")).distinct()
+    pairs = B.theme_shocks(spark, sf_dir).select(F.col("node").alias("from_node")).crossJoin(F.broadcast(ends))  # five themes by a few materials
+    return X.explain_links(flow, pairs, 2, HOPS).select("from_node", "to_node", "route", F.round("contribution", 9).alias("contribution"), F.round("confidence", 6).alias("confidence"), "place")
+
+
+@query(""", ev AS (SELECT e.edge_id, l_orderkey AS position, 'http://orders/' || l_orderkey AS url FROM edges e JOIN (SELECT DISTINCT l_suppkey, l_orderkey, dst FROM (SELECT l_suppkey, l_orderkey, CASE WHEN small THEN brand ELSE type END AS dst FROM line)) x
+  ON e.rel = 'PRODUCES' AND e.src = 'company/' || l_suppkey AND e.dst = x.dst)
+SELECT e.edge_id, rel, count(url) AS n, coalesce(string_agg(url, ' ' ORDER BY position), '') AS urls FROM edges e LEFT JOIN ev USING (edge_id) GROUP BY ALL""")
+def q_edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = stored(B.graph_edges(spark, sf_dir))
+    part = B.read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") <= 25, F.concat(F.lit("product/"), "p_brand")).otherwise(F.concat(F.lit("material/"), "p_type")).alias("dst"))
+    line = B.read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("company/"), "l_suppkey").alias("src"), "dst", "l_orderkey").distinct()
+    items = edges.filter("rel = 'PRODUCES'").select("edge_id", "src", "dst").join(line, ["src", "dst"]).select(
+        "edge_id", F.col("l_orderkey").alias("position"), F.concat(F.lit("http://orders/"), "l_orderkey").alias("url"), F.lit("").alias("note"), F.lit(None).cast("date").alias("accessed"), F.lit(False).alias("verified")
+    )
+    found = X.edge_evidence(edges, items)
+    return found.select("edge_id", "rel", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: x["url"]), " ").alias("urls"))
 
 
 @query("SELECT rel, weight_source, count(*) AS edges, CAST(floor(confidence * 10) AS INTEGER) AS tenth FROM edges GROUP BY ALL")
@@ -154,12 +199,35 @@ SELECT shock, node, round(share, 8) AS share, round(percentile, 6) AS percentile
   CASE WHEN percentile IS NOT NULL THEN percentile >= 0.8 ELSE coalesce(hops <= 3, false) END AS obvious FROM pct"""
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, share: returned lines of each supplier among all of its lines stand for attention."""
+    line = B.read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("company/"), "l_suppkey").alias("key")).agg(F.count("*").alias("norm"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("matched"))
+    return line.select("key", F.when(F.col("matched") >= 30, F.col("matched") / F.col("norm")).alias("share"))
+
+
 @query(_ATTENTION)
 def q_attention_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quakeline.operators.attention import novelty, obvious
+    found = A.with_percentile(G.company_exposures(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), HOPS), _shares(spark, sf_dir))
+    return found.select("shock", "node", F.round("share", 8).alias("share"), F.round("percentile", 6).alias("percentile"), (F.round(A.novelty(), 8) + 0.0).alias("novelty"), A.obvious().alias("obvious"))
+
+
+@query(_PATHS + _ATTENTION[: _ATTENTION.index("SELECT shock, node, round(share")] + """, told AS (SELECT *, CASE WHEN percentile IS NOT NULL THEN percentile >= 0.8 ELSE coalesce(hops <= 3, false) END AS obvious FROM pct),
+listed AS (SELECT t.*, row_number() OVER (PARTITION BY t.shock ORDER BY r.rank) AS pos FROM told t JOIN ranked r ON r.shock = t.shock AND r.node = t.node WHERE NOT obvious)
+SELECT l.shock, l.node, CAST(pos AS INTEGER) AS place, round(exposure, 8) AS exposure, CAST(hops AS INTEGER) AS hops, round(percentile, 6) AS percentile, round(exposure * (1 - percentile), 8) + 0.0 AS novelty,
+  CAST(g AS INTEGER) AS guessed, round(conf, 6) AS path_confidence, round(low, 6) AS weakest_confidence, route FROM listed l LEFT JOIN placed p ON p.shock = l.shock AND p.node = l.node AND p.place = 1 WHERE pos <= 20""")
+def q_find_exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = X.find_exposed(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), _shares(spark, sf_dir), hops=HOPS, hide_obvious=True)
+    return found.select(
+        "shock", "node", "place", F.round("exposure", 8).alias("exposure"), "hops", F.round("percentile", 6).alias("percentile"), (F.round("novelty", 8) + 0.0).alias("novelty"), "guessed", F.round("path_confidence", 6).alias("path_confidence"),
+        F.round("weakest_confidence", 6).alias("weakest_confidence"), F.array_join(F.col("paths")[0]["path"], ">").alias("route"),
+    )
+
+
+_LIKE_GHOST = ", low AS (SELECT * FROM edges WHERE confidence < 0.5), shown AS (SELECT DISTINCT shock, unnest(string_split(route, '>')) AS node FROM placed WHERE place <= 3)"
+
 
-    line = B.read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("company/"), "l_suppkey").alias("node")).agg(F.count("*").alias("norm"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("matched"))
-    found = G.company_exposures(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), HOPS).join(line, "node")
-    found = found.withColumn("share", F.when(F.col("matched") >= 30, F.col("matched") / F.col("norm")))
-    found = found.withColumn("percentile", midrank("share", "shock"))
-    return found.select("shock", "node", F.round("share", 8).alias("share"), F.round("percentile", 6).alias("percentile"), (F.round(novelty(), 8) + 0.0).alias("novelty"), obvious().alias("obvious"))
+@query(_PATHS + _LIKE_GHOST + " SELECT a.shock, edge_id, round(weight, 6) AS weight FROM low JOIN shown a ON a.node = src JOIN shown b ON b.node = dst AND b.shock = a.shock")
+def q_ghost_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = G.top_paths(_flow(spark, sf_dir), B.theme_shocks(spark, sf_dir), 3, HOPS)
+    shown = paths.select("shock", F.explode("path").alias("node"))
+    return X.ghost_edges(B.graph_edges(spark, sf_dir), shown).select("shock", "edge_id", F.round("weight", 6).alias("weight"))

@@ -13,7 +13,7 @@ ORACLE_SQL: dict = {}
 CALENDAR, HORIZON = "Brand#11", 20
 _WITH = "WITH " + B.PRICES_SQL.strip() + f""",
 cal AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS idx FROM (SELECT DISTINCT day FROM prices WHERE listing = '{CALENDAR}')),
-detections AS (SELECT 'e' || (detected - DATE '1970-01-01') AS event, detected FROM (SELECT DISTINCT day AS detected FROM prices WHERE (day - DATE '1970-01-01') % 50 = 7)),
+detections AS (SELECT 'e' || (detected - DATE '1970-01-01') AS event, detected FROM (SELECT DISTINCT day AS detected FROM prices)),
 spans AS (SELECT event, detected, s.day AS start, e.day AS end_ FROM (SELECT event, detected, min(idx) AS i FROM detections JOIN cal ON day > detected GROUP BY ALL) x JOIN cal s ON s.idx = i JOIN cal e ON e.idx = i + {HORIZON}),
 priced AS (SELECT *, adj_close * fx AS value FROM usd),
 ent AS (SELECT event, detected, end_, listing, min(p.day) AS d FROM spans JOIN priced p ON p.day > detected AND p.day <= detected + 5 GROUP BY ALL),
@@ -42,7 +42,7 @@ def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = B.prices(spark, sf_dir)
-    days = prices.select(F.col("day").alias("detected")).distinct().filter(F.pmod(F.unix_date("detected"), F.lit(50)) == 7)
+    days = prices.select(F.col("day").alias("detected")).distinct()
     return R.windows(days.select(F.concat(F.lit("e"), F.unix_date("detected")).alias("event"), "detected"), R.calendar(prices, CALENDAR), HORIZON)
 
 
@@ -79,3 +79,15 @@ SELECT key, listing, CASE WHEN count(*) >= 40 THEN round(corr(ra, rs), 6) END AS
 def q_priced_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = B.coverage(spark, sf_dir).select("key", "day", (F.col("matched") / F.col("norm")).alias("share"))
     return R.priced_in(R.daily_abnormal(_priced(spark, sf_dir)), shares).select("key", "listing", F.round("rho", 6).alias("rho"))
+
+
+@query(", " + B.COVERAGE_SQL + """, last60 AS (SELECT day FROM cal WHERE day <= DATE '2000-06-30' ORDER BY day DESC LIMIT 60),
+pairs AS (SELECT key, listing, abnormal, matched / norm AS share FROM abnormal JOIN coverage USING (day) WHERE day IN (SELECT day FROM last60)),
+ranks AS (SELECT key, listing, rank() OVER (PARTITION BY key, listing ORDER BY round(abnormal, 12)) + (count(*) OVER (PARTITION BY key, listing, round(abnormal, 12)) - 1) / 2 AS ra,
+  rank() OVER (PARTITION BY key, listing ORDER BY share) + (count(*) OVER (PARTITION BY key, listing, share) - 1) / 2 AS rs FROM pairs)
+SELECT key, listing, CASE WHEN count(*) >= 5 THEN round(corr(ra, rs), 6) END AS rho FROM ranks GROUP BY key, listing""")
+def q_priced_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = B.coverage(spark, sf_dir).select("key", "day", (F.col("matched") / F.col("norm")).alias("share"))
+    within = R.last_days(R.calendar(B.prices(spark, sf_dir), CALENDAR), "2000-06-30")
+    daily = R.daily_abnormal(_priced(spark, sf_dir)).withColumn("abnormal", F.round("abnormal", 12))
+    return R.priced_in(daily, shares, 5, within).select("key", "listing", F.round("rho", 6).alias("rho"))

@@ -99,11 +99,12 @@ def q_calibration_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.calibration(_stats(spark, sf_dir), _GRID).select("threshold", "bursts", F.round("rate", 6).alias("rate"))
 
 
-_EVENTS_SQL = ", marks AS (SELECT key || '@' || day AS event, key, day FROM stats WHERE (day - DATE '1970-01-01') % 41 = 0)"
+_EVENTS_SQL = ", marks AS (SELECT key || '@' || day AS event, key, day FROM stats WHERE round(tone_z, 6) <= -1.5)"
 
 
 def _marks(stats: DataFrame) -> DataFrame:
-    return stats.filter(F.pmod(F.unix_date("day"), F.lit(41)) == 0).select(F.concat("key", F.lit("@"), "day").alias("event"), "key", "day")
+    """Days of unusually bad tone stand for events; the tables have none."""
+    return stats.filter(F.round("tone_z", 6) <= -1.5).select(F.concat("key", F.lit("@"), "day").alias("event"), "key", "day")
 
 
 @query(_STATS + _RUNS + _EVENTS_SQL + """, near AS (SELECT event, m.key, day, start, end_, greatest(0, start - day, day - end_) AS gap FROM marks m LEFT JOIN runs r ON m.key = r.key AND day BETWEEN start - 3 AND end_ + 3)
@@ -134,3 +135,19 @@ def q_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT key, day, matched FROM (SELECT v.*, row_number() OVER (PARTITION BY key, day ORDER BY recorded_on DESC, row_id DESC) AS n FROM versions v JOIN newest USING (key, query_hash)) WHERE n = 1""")
 def q_latest_query_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.series(B.versions(spark, sf_dir)).select("key", "day", "matched")
+
+
+@query("""SELECT count(*) AS events, round(avg(CAST(l_returnflag = 'R' AS INTEGER)), 6) AS hit_rate, round(avg(CAST(l_returnflag = 'R' AS INTEGER)) FILTER (WHERE l_linestatus <> 'O'), 6) AS exact_hit_rate,
+  round(avg(CAST((l_tax > 0.04) = (l_discount > 0.05) AS INTEGER)) FILTER (WHERE l_returnflag = 'R'), 6) AS flag_precision, avg(CAST(l_returnflag = 'R' AS INTEGER)) >= 0.25 AS met FROM lineitem""")
+def q_event_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = B.read(spark, sf_dir, "lineitem")
+    hits = line.select((F.col("l_returnflag") == "R").alias("hit"), (F.col("l_linestatus") == "O").alias("approximate"), (F.col("l_discount") > 0.05).alias("reversal"), (F.col("l_tax") > 0.04).alias("tone_flag"))
+    return S.event_report(hits, 0.25).select("events", *(F.round(c, 6).alias(c) for c in ("hit_rate", "exact_hit_rate", "flag_precision")), "met")
+
+
+@query(_STATS + """, held AS (SELECT key, count(*) AS days FROM coverage GROUP BY key), wanted AS (SELECT DISTINCT o_orderpriority AS key FROM orders UNION SELECT c_mktsegment FROM customer),
+judged AS (SELECT key, bool_or(day BETWEEN DATE '2001-10-15' - 90 AND DATE '2001-10-15') AS recent FROM stats GROUP BY key)
+SELECT key, CASE WHEN days IS NULL THEN 'no coverage' WHEN recent IS NULL THEN 'too few days' ELSE 'no days in the window' END AS reason FROM wanted LEFT JOIN held USING (key) LEFT JOIN judged USING (key) WHERE recent IS NOT TRUE""")
+def q_trending_unmeasured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = B.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key")).union(B.read(spark, sf_dir, "customer").select("c_mktsegment"))
+    return S.unmeasured(keys, B.coverage(spark, sf_dir), _stats(spark, sf_dir), "2001-10-15")

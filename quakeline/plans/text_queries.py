@@ -48,7 +48,7 @@ def q_citation_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, regexp_matches(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(%|percent|per cent)') AS has_share, length(text) AS size FROM documents")
 def q_share_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.read(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"(?i)(\d+(?:\.\d+)?)\s*(%|percent|per cent)").alias("has_share"), F.length("text").cast("bigint").alias("size"))
+    return B.read(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(D.STATED_SHARE).alias("has_share"), F.length("text").cast("bigint").alias("size"))
 
 
 @query()
@@ -56,23 +56,30 @@ def q_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read(spark, sf_dir, "pages").select("page_id", D.plain_text(F.col("html")).alias("text"))
 
 
-@query()
+# no text has items, and none is longer than a chunk
+@query("SELECT doc_id, 'part-1' AS name, 0 AS start, CAST(length(text) AS INTEGER) AS \"end\", true AS fallback FROM documents WHERE length(text) > 0")
 def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.read(spark, sf_dir, "documents").select("doc_id", "text", F.lit("10-K").alias("form"))
     return D.sections(docs)
 
 
-@query()
+# quotes stand anywhere up to the end of a text, with other case and white space; a third of them are of no text
+_QUOTES = """SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'not ' || doc_id ELSE '' END || replace(lower(substring(text, CAST(1 + doc_id * 7919 % greatest(length(text) - 50, 1) AS INTEGER), 50)), ' ', '  ') AS quote FROM documents"""
+
+
+@query(f"""SELECT doc_id, CAST(CASE WHEN m <> '' THEN length(regexp_split_to_array(text, p, 'i')[1]) END AS INTEGER) AS start, CAST(CASE WHEN m <> '' THEN length(regexp_split_to_array(text, p, 'i')[1]) + length(m) END AS INTEGER) AS "end" FROM (
+  SELECT *, regexp_extract(text, p, 0, 'i') AS m FROM (SELECT *, array_to_string(list_transform(list_filter(regexp_split_to_array(quote, '\\s+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '\\s+') AS p FROM ({_QUOTES})))""")
 def q_quote_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.read(spark, sf_dir, "documents").withColumn("quote", F.upper(F.substring("text", 20, 60)))
+    at = F.lit(1) + F.col("doc_id") * 7919 % F.greatest(F.length("text") - 50, F.lit(1))
+    quote = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("not "), "doc_id")).otherwise(""), F.replace(F.lower(F.substring(F.col("text"), at.cast("int"), F.lit(50))), F.lit(" "), F.lit("  ")))
+    docs = B.read(spark, sf_dir, "documents").withColumn("quote", quote)
     return docs.select("doc_id", D.locate_quote("text", "quote").alias("at")).select("doc_id", "at.start", "at.end")
 
 
-@query("SELECT s_suppkey AS id, s_name AS label, CASE WHEN lower(s_name) = 'supplier#000000001' THEN 1.0 ELSE 0.6 + 0.4 * length('00001') / length(s_name) END AS score FROM supplier WHERE contains(lower(s_name), '00001')")
+@query("SELECT s_suppkey AS id, s_name AS label, 0.6 + 0.4 * length('00001') / length(s_name) AS score FROM supplier WHERE contains(lower(s_name), '00001')")
 def q_search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = B.read(spark, sf_dir, "supplier").filter(F.contains(F.lower("s_name"), F.lit("00001")))
-    score = F.when(F.lower("s_name") == "supplier#000000001", 1.0).otherwise(0.6 + 0.4 * F.length(F.lit("00001")) / F.length("s_name"))
-    return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), score.alias("score"))
+    return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), D.name_score(F.lit("00001"), F.col("s_name")).alias("score"))
 
 
 @query()
