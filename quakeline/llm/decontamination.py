@@ -1,8 +1,9 @@
 """Benchmark decontamination: a generalised suffix automaton of the test items, streamed over every document.
 
-The automaton is built on the driver from the benchmark, whose size is checked: it is cut into blocks of items of
-at most BLOCK_WORDS words, one automaton each, and every document is streamed through all blocks in one pass. Only
-runs of words that the benchmark knows at all enter the automaton; the others are skipped in numpy.
+Automata are built on the driver from blocks of items of at most BLOCK_WORDS words each. Documents are streamed through
+the blocks of PASS_WORDS words in one pass; a larger benchmark takes several passes, each of which adds its hits to
+those of the passes before, so that no worker holds more. Only runs of words that the benchmark knows at all enter the
+automaton; the others are skipped in numpy.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quakeline.llm.common import stored
 from quakeline.llm.tokens import ALNUM, blocks, few_rows, lowered, split_words
 
 WINDOW = 8
-#: Words of benchmark in one automaton, and in all of them: more is refused instead of sent to every executor.
-BLOCK_WORDS, MOST_WORDS = 500_000, 5_000_000
+#: Words of benchmark in one automaton (of more if an item has more), and in those of one pass (about 0.6 KB a word in each worker).
+BLOCK_WORDS, PASS_WORDS = 50_000, 150_000
+#: Columns in which a pass leaves its hits to the next: runs of words and items.
+RUNS, ITEMS = "_decontamination_runs", "_decontamination_items"
 
 
 class SuffixAutomaton:
@@ -107,32 +111,42 @@ class SuffixAutomaton:
                     s = link[s]
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW) -> list[SuffixAutomaton]:
-    """Automata of a benchmark (item_id, text), in blocks. Items without words or id are left out."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > 8 * MOST_WORDS:
-        raise ValueError(f"the benchmark has {size} characters; at most {8 * MOST_WORDS} are sent to executors")
-    out, items, words = [], [], 0
-    for name, text in sorted(map(tuple, rows.toLocalIterator())):
+def automata(benchmark: DataFrame, window: int = WINDOW) -> Iterator[list[SuffixAutomaton]]:
+    """Automata of a benchmark (item_id, text), those of a pass together. Items without words or id are left out.
+
+    Items come one by one in order of id, so the driver holds one pass of them.
+    """
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null").orderBy("item_id", "text")
+    out, items, words, held = [], [], 0, 0
+    for name, text in map(tuple, rows.toLocalIterator()):
         w = split_words(lowered([text]), ALNUM).hashes
         if not len(w):
             continue
         if items and words + len(w) > BLOCK_WORDS:
             out.append(SuffixAutomaton(items, window))
-            items, words = [], 0
+            items, words, held = [], 0, held + words
+            if held + len(w) > PASS_WORDS:
+                yield out
+                out, held = [], 0
         items.append((name, w))
         words += len(w)
-    return out + ([SuffixAutomaton(items, window)] if items else [])
+    if items:
+        out.append(SuffixAutomaton(items, window))
+    yield out
 
 
-def scan(texts: list[str | None], found: list[SuffixAutomaton]) -> Iterator[tuple[int, list[tuple[int, int]], int, set[str]]]:
-    """Of each text: words, byte spans of hit runs, hit words, names of items."""
+def scan(texts: list[str | None], found: list[SuffixAutomaton], before: list[tuple[list, list]] | None = None) -> Iterator[tuple[int, list[tuple[int, int]], list[tuple[int, int]], set[str]]]:
+    """Of each text: words, byte spans of hit runs, the same in words, names of items. before: runs and names of earlier passes."""
     raw = lowered(texts)
     for part in blocks(raw):
         w = split_words(raw[part], ALNUM)
         hits = np.zeros(len(w.hashes), bool)
         names: dict[int, set[str]] = {}
+        for k, (old, known) in enumerate(before[part] if before else ()):
+            for lo, hi in old:
+                hits[w.at[k] + lo : w.at[k] + hi] = True
+            if known:
+                names[k] = set(known)
         for a in found:
             code = np.searchsorted(a.vocabulary, w.hashes)
             code[code == len(a.vocabulary)] = 0
@@ -157,16 +171,54 @@ def scan(texts: list[str | None], found: list[SuffixAutomaton]) -> Iterator[tupl
             spans.setdefault(k, []).append((lo, hi))
         for k in range(part.stop - part.start):
             own = spans.get(k, [])
-            off = int(w.offsets[k])
-            yield int(w.at[k + 1] - w.at[k]), [(int(w.start[lo]) - off, int(w.end[hi - 1]) - off) for lo, hi in own], sum(hi - lo for lo, hi in own), names.get(k, set())
+            off, head = int(w.offsets[k]), int(w.at[k])
+            yield int(w.at[k + 1]) - head, [(int(w.start[lo]) - off, int(w.end[hi - 1]) - off) for lo, hi in own], [(lo - head, hi - head) for lo, hi in own], names.get(k, set())
+
+
+def _before(batch: pa.RecordBatch) -> list[tuple[list, list]] | None:
+    if RUNS not in batch.schema.names:
+        return None
+    runs = [[(x["lo"], x["hi"]) for x in r] for r in batch.column(RUNS).to_pylist()]
+    return list(zip(runs, batch.column(ITEMS).to_pylist(), strict=True))
+
+
+def _n(runs: list[tuple[int, int]]) -> int:
+    return sum(hi - lo for lo, hi in runs)
+
+
+def _adds(found: list[SuffixAutomaton], at: int) -> Callable:
+    """A pass that is not the last: the rows as they are, with all hits so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            rows = list(scan(batch.column(at).to_pylist(), found, _before(batch)))
+            runs = pa.array([[{"lo": lo, "hi": hi} for lo, hi in r[2]] for r in rows], pa.list_(pa.struct({"lo": pa.int32(), "hi": pa.int32()})))
+            items = pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string()))
+            own = [k for k, n in enumerate(batch.schema.names) if n not in (RUNS, ITEMS)]
+            yield pa.record_batch([*(batch.column(k) for k in own), runs, items], [*(batch.schema.names[k] for k in own), RUNS, ITEMS])
+
+    return run
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, list[SuffixAutomaton]]:
+    """docs with the hits of all passes but the last, and the automata of the last."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema]
+    runs = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
+    schema = T.StructType([*fields, T.StructField(RUNS, runs), T.StructField(ITEMS, T.ArrayType(T.StringType()))])
+    held: list[SuffixAutomaton] | None = None
+    for found in automata(benchmark, window):
+        if held is not None:
+            docs = stored(docs.mapInArrow(_adds(held, docs.columns.index("text")), schema), "zstd")
+        held = found
+    return docs, held or []
 
 
 def _reports(found: list[SuffixAutomaton]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            rows = list(scan(batch.column(1).to_pylist(), found))
+            rows = list(scan(batch.column(1).to_pylist(), found, _before(batch)))
             yield pa.record_batch(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(r[3])).encode()).hexdigest() for r in rows], pa.string())],
+                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([_n(r[2]) for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(r[3])).encode()).hexdigest() for r in rows], pa.string())],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
             )
 
@@ -177,10 +229,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """Per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit inside any occurrence of `window` consecutive item words, or of a whole shorter item. Null and
-    empty texts have no words; an empty benchmark hits nothing; repeated rows and items are answered alike.
+    empty texts have no words; an empty benchmark hits nothing; repeated rows and items are answered alike. Long texts
+    are read whole, other columns don't matter, and an empty table gives an empty result.
     """
-    found = automata(benchmark, window)
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_reports(found), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    rows, found = _passes(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window)
+    out = rows.mapInArrow(_reports(found), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", F.col("n_items") >= min_items)
 
 
@@ -188,9 +241,9 @@ def _cleaner(found: list[SuffixAutomaton], at: int, coverage: float) -> Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
             texts, keep = batch.column(at).to_pylist(), []
-            for i, (n, spans, hit, _) in enumerate(scan(texts, found)):
-                keep.append(not hit or hit < coverage * n)
-                if hit and keep[-1]:
+            for i, (n, spans, runs, _) in enumerate(scan(texts, found, _before(batch))):
+                keep.append(not runs or _n(runs) < coverage * n)
+                if runs and keep[-1]:
                     raw, last, parts = texts[i].encode("utf-8", "surrogatepass"), 0, []
                     for lo, hi in spans:
                         parts.append(raw[last:lo])
@@ -198,7 +251,8 @@ def _cleaner(found: list[SuffixAutomaton], at: int, coverage: float) -> Callable
                     texts[i] = b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.record_batch(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+            own = [k for k, n in enumerate(batch.schema.names) if n not in (RUNS, ITEMS)]
+            yield pa.record_batch([columns[k] for k in own], [batch.schema.names[k] for k in own]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -206,9 +260,10 @@ def _cleaner(found: list[SuffixAutomaton], at: int, coverage: float) -> Callable
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """docs without benchmark passages: spans of hit words are cut out of text; documents hit to `coverage` go.
 
-    All columns come back; only text changes, and only where there was a span. Null texts stay.
+    All columns come back; only text changes, and only where there was a span. Null and empty texts stay, rows may
+    repeat, and an empty table gives an empty result.
     """
-    found = automata(benchmark, window)
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
+    docs, found = _passes(docs, benchmark, window)
     return docs.mapInArrow(_cleaner(found, docs.columns.index("text"), coverage), schema)
