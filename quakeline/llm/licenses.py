@@ -98,13 +98,11 @@ def find(hashes: np.ndarray, templates: list, coverage: float = COVERAGE) -> lis
         if int(inside.sum()) < need:
             continue
         total = np.concatenate(([0], np.cumsum(inside)))
-        at = 0
-        while at < len(hashes):
-            stop = np.minimum(np.arange(at, len(hashes)) + width, len(hashes))
-            dense = np.flatnonzero((total[stop] - total[at : len(hashes)] >= need) & inside[at:])
-            if not len(dense):
-                break
-            lo = at + int(dense[0])
+        starts = np.arange(len(hashes))
+        dense = np.flatnonzero((total[np.minimum(starts + width, len(hashes))] - total[:-1] >= need) & inside)
+        at = k = 0
+        while (k := k + int(np.searchsorted(dense[k:], at))) < len(dense):
+            lo = int(dense[k])
             hi = min(lo + width, len(hashes))
             matched = patience(words, hashes[lo:hi].tolist())
             if len(matched) >= need:
@@ -112,8 +110,8 @@ def find(hashes: np.ndarray, templates: list, coverage: float = COVERAGE) -> lis
                 if not any(first < e and s < end for _, _, s, e in found):
                     found.append((name, len(matched) / len(words), first, end))
                 at = max(end, lo + 1)
-            else:
-                at = lo + 1
+            else:  # each step on brings one new word into reach, so this many are needed at least
+                at = lo + need - len(matched)
     return sorted(found, key=lambda x: x[2:])
 
 
@@ -138,5 +136,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_licenses, licenses (sorted, comma-joined), coverage (the best), matched_words,
-    spans (byte offsets in the text). Null and empty texts have none; repeated rows are answered alike."""
+    spans (byte offsets in the text). Null and empty texts have none; repeated rows are answered alike; long texts are
+    read whole; other columns don't matter, and an empty table gives an empty result."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, _SCHEMA)
