@@ -122,6 +122,23 @@ def test_contamination(spark):
     assert 2 not in clean and clean[4] is None and clean[7].strip().endswith("z")
 
 
+def test_contamination_in_several_passes(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"b{i}" for i in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 25)))) for i in range(30)], "item_id long, text string")
+    items = [r.text.split() for r in bench.collect()]
+    texts = [" ".join([*rng.sample(words, 5), *items[k][:12], "x", *items[(k * 7) % 30][-9:], *["filler"] * 40]) for k in range(30)] + [None, ""]
+    df = docs(spark, texts)
+    once = sorted(map(tuple, decontamination.contamination(df, bench).collect()))
+    cleaned = sorted(map(str, decontamination.decontaminate(df, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 30)
+    monkeypatch.setattr(decontamination, "PASS_WORDS", 80)
+    assert len(list(decontamination.automata(bench))) > 2
+    assert sorted(map(tuple, decontamination.contamination(df, bench).collect())) == once and any(r[2] for r in once)
+    assert sorted(map(str, decontamination.decontaminate(df, bench).collect())) == cleaned
+    assert decontamination.contamination(df, bench.limit(0)).filter("n_hit > 0").count() == 0 and decontamination.contamination(df.limit(0), bench).count() == 0
+
+
 def test_packing_keeps_every_id(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -470,3 +487,32 @@ def test_licenses(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
     assert got[0].licenses == "MIT" and got[0].coverage > 0.97 and got[1].n_licenses == 2 and got[1].licenses == "MIT-notice" and [got[i].n_licenses for i in (2, 3, 4)] == [0, 0, 0]
     assert licenses.patience([1, 2, 3, 4, 5], [9, 1, 3, 8, 4, 5]) == [(0, 1), (2, 2), (3, 4), (4, 5)]
+
+
+def test_licenses_against_the_definition(spark):
+    """Coverage by longest common subsequences; text of template words only takes no quadratic time."""
+    rng = random.Random(3)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = list(row)
+            for j, y in enumerate(b, 1):
+                row[j] = last[j - 1] + 1 if x == y else max(last[j], row[j - 1])
+        return row[-1]
+
+    for name in ("ISC", "MIT", "BSD-2-Clause"):
+        body = re.findall(r"[0-9a-z]+", licenses.TEMPLATES[name].lower())
+        for share in (0.0, 0.1, 0.5):
+            words = [w for w in body if rng.random() >= share]
+            text = " ".join([*(f"x{i}" for i in range(30)), *words, *(f"y{i}" for i in range(30))])
+            got = next(iter(licenses.scan_licenses(docs(spark, [text])).collect()))
+            if common(body, words) < 0.8 * len(body):
+                assert got.n_licenses == 0
+            else:
+                assert got.licenses == name and got.coverage >= 0.97 * common(body, words) / len(body)
+    hashes = np.array(licenses._templates()[0][1] * 1, np.uint64)
+    mixed = np.array([rng.choice([h for _, t, _ in licenses._templates() for h in t]) for _ in range(30_000)], np.uint64)
+    began = time.perf_counter()
+    licenses.find(mixed, licenses._templates())
+    assert time.perf_counter() - began < 10 and len(hashes)
