@@ -31,8 +31,8 @@ LEAST = 30
 HOT, ROUNDS, DIRECT = 8, 5, 2_000_000
 #: Tables of up to this number of rows of a few numbers are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Where a sentence ends; both sides stay in the text.
-SENTENCE_END = r"(?<=[.!?])(?=\s)"
+#: Where a sentence ends: the mark and the space are no part of it when sentences are compared, and stay when one is cut.
+SENTENCE_END, SENTENCE_CUT = r"[.!?]\s", r"(?<=[.!?])(?=\s)"
 
 
 #: ASCII white space that a line can hold.
@@ -213,10 +213,10 @@ def placed_lines(docs: DataFrame) -> DataFrame:
 
 
 def _later(units: DataFrame, place: list[str], placed: DataFrame | None = None) -> DataFrame:
-    """Of units (id, h1, h2 and place, or its part that placed has not by id) those that share (h1, h2): id, place, first,
-    the least place and id of them, and repeats, whether the own place is another. Stored."""
-    twice = _small(stored(units.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")))
-    found = units.join(twice, ["h1", "h2"], "left_semi")
+    """Of units (id, h1, h2 and place, or its part that placed has not by id) those that may share (h1, h2): id, place,
+    first, the least place and id that have them, and repeats, whether the own place is another. Stored."""
+    twice = _small(stored(units.groupBy("h1").count().filter("count > 1").select("h1")))  # one number as key; what it mixes up is told apart below
+    found = units.join(twice, "h1", "left_semi")
     if placed is not None:
         found = found.join(_small(stored(found.select("id").distinct()).join(placed, "id")), "id")
     found = stored(found)
@@ -306,8 +306,8 @@ def near_lines(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def sentences(lines: DataFrame) -> DataFrame:
-    """id, nth, h1, h2 of each sentence of at least LEAST characters, without outer spaces, of lines (id, line)."""
-    each = lines.select("id", F.posexplode(F.split("line", SENTENCE_END, -1)).alias("nth", "sentence"))
+    """id, nth, h1, h2 of each sentence of at least LEAST characters, without end mark and outer spaces, of lines (id, line)."""
+    each = lines.select("id", F.posexplode(F.split(F.concat("line", F.lit(" ")), SENTENCE_END, -1)).alias("nth", "sentence"))
     each = each.filter(F.length("sentence") >= LEAST).withColumn("sentence", F.trim("sentence")).filter(F.length("sentence") >= LEAST)
     return each.select("id", "nth", *_hashes("sentence"))
 
@@ -347,7 +347,8 @@ def line_report(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     lines_gone = F.sort_array(F.collect_list(F.when(F.col("nth").isNull(), F.col("pos")))).alias("dropped")
     cut = F.sort_array(F.collect_list(F.when(F.col("nth").isNotNull(), F.struct("pos", "nth")))).alias("cut")
     gone = repeats(docs, limit).groupBy("doc_id", "version").agg(lines_gone, cut)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    n = F.when(F.col("text").isNull(), 0).otherwise(ends + 1).cast("long").alias("n_lines")
     each = docs.select(*_document(docs), n).join(gone, ["doc_id", "version"], "left")
     none, no_cut = F.array().cast("array<int>"), F.array().cast("array<struct<pos:int,nth:int>>")
     dropped, cut = F.coalesce("dropped", none), F.coalesce("cut", no_cut)
@@ -372,7 +373,7 @@ def _left(text: Column, marks: Column) -> Column:
 
     def line(x: Column, i: Column) -> Column:
         bits = F.element_at(F.filter(marks["cuts"], lambda c: c["pos"] == i), 1)["nths"]
-        shorn = F.concat_ws("", F.filter(F.split(trimmed(x), SENTENCE_END, -1), lambda _, k: ~_marked(bits, k)))
+        shorn = F.concat_ws("", F.filter(F.split(trimmed(x), SENTENCE_CUT, -1), lambda _, k: ~_marked(bits, k)))
         return F.when(_marked(marks["whole"], i), None).when(_marked(marks["some"], i), F.nullif(shorn, F.lit(""))).otherwise(x)
 
     return F.array_join(F.filter(F.transform(F.split(text, "\n", -1), line), lambda x: x.isNotNull()), "\n")

@@ -248,7 +248,7 @@ def expected_repeats(rows, limit=2, least=30):
             seen.append(x)
     for d, t, k, x in places:
         if len(x) >= least and k not in lines.get((d, t), []):
-            for i, s in enumerate(re.split(r"(?<=[.!?])(?=\s)", x)):
+            for i, s in enumerate(re.split(r"[.!?]\s", x + " ")):
                 s = s.strip(" ")
                 if len(s) >= least:
                     if s in said:
