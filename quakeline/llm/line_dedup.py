@@ -31,6 +31,8 @@ LEAST = 30
 HOT, ROUNDS, DIRECT = 8, 5, 2_000_000
 #: Tables of up to this number of rows of a few numbers are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A document goes if less than one in LEFT of its characters is left: a near copy, of which only the edited parts stay.
+LEFT = 3
 #: Where a sentence ends: the mark and the space are no part of it when sentences are compared, and stay when one is cut.
 SENTENCE_END, SENTENCE_CUT = r"[.!?]\s", r"(?<=[.!?])(?=\s)"
 
@@ -382,7 +384,7 @@ def _left(text: Column, marks: Column) -> Column:
 def without_repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with repeated lines and sentences cut out of text; all columns stay.
 
-    A document of which nothing but white space is left goes; others stay, null and empty ones too. Rows that repeat a
+    A document that loses more than 1 - 1 / LEFT of its text, or all but white space, goes; others stay, null and empty ones too. Rows that repeat a
     doc_id with other texts lose only their own repeats; long texts are treated whole. An empty table gives an empty
     result. Of the texts, only the rows of docs are shuffled, and only if the marks are too many to be broadcast.
     """
@@ -396,5 +398,5 @@ def without_repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     rows = docs.select(F.struct(*_document(docs)).alias("_key"), row).join(marks, "_key", "left")
     new = F.when(F.col("_marks").isNull(), F.col("_row.text")).otherwise(_left(F.col("_row.text"), F.col("_marks")))
     # one value or none, so that the text is worked out once
-    rows = rows.select("_row", F.explode(F.filter(F.array(new), lambda t: F.col("_marks").isNull() | t.rlike(r"[^\s]"))).alias("_text"))
+    rows = rows.select("_row", F.explode(F.filter(F.array(new), lambda t: F.col("_marks").isNull() | (t.rlike(r"[^\s]") & (LEFT * F.length(t) >= F.length("_row.text"))))).alias("_text"))
     return rows.select(*(F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
