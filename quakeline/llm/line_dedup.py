@@ -31,8 +31,9 @@ LEAST = 30
 HOT, ROUNDS, DIRECT = 8, 5, 2_000_000
 #: Tables of up to this number of rows of a few numbers are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: A document goes if less than one in LEFT of its characters is left: a near copy, of which only the edited parts stay.
-LEFT = 3
+#: A document that repeats COPIED characters of other documents at least, and nothing of its own, goes if less than one
+#: in LEFT of its characters is left: a near copy, of which only the edited parts would stay.
+LEFT, COPIED = 3, 200
 #: Where a sentence ends: the mark and the space are no part of it when sentences are compared, and stay when one is cut.
 SENTENCE_END, SENTENCE_CUT = r"[.!?]\s", r"(?<=[.!?])(?=\s)"
 
@@ -315,7 +316,8 @@ def sentences(lines: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, version, pos, nth of what repeats earlier text, in order of these: whole lines (nth null) and sentences.
+    """doc_id, version, pos, nth, own of what repeats earlier text, in order of these: whole lines (nth null) and sentences.
+    own: the earlier text is of the same document.
 
     A line goes if an earlier one equals it or is within limit edits; of the lines that stay, a sentence goes if an
     earlier sentence equals it. nth counts from 0 within the line. version tells rows of one doc_id with different
@@ -328,11 +330,14 @@ def repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     links = near_lines(first.select("id", "line"), limit)
     where = lines.select("id", F.struct(*place).alias("place"))
     ends = _small(links).join(where.withColumnsRenamed({"id": "a", "place": "pa"}), "a").join(where.withColumnsRenamed({"id": "b", "place": "pb"}), "b")
-    near = stored(ends.select(F.explode(F.array(F.when(F.col("pa") < F.col("pb"), F.struct(F.col("b").alias("id"), F.col("pb").alias("place"))).otherwise(F.struct(F.col("a").alias("id"), F.col("pa").alias("place"))))).alias("x")).select("x.id", "x.place.*").distinct())
+    same = ((F.col("pa.doc_id") == F.col("pb.doc_id")) & (F.col("pa.version") == F.col("pb.version"))).alias("own")
+    near = ends.select(F.when(F.col("pa") < F.col("pb"), F.struct(F.col("b").alias("id"), F.col("pb").alias("place"))).otherwise(F.struct(F.col("a").alias("id"), F.col("pa").alias("place"))).alias("x"), same)
+    near = stored(near.select("x.id", "x.place.*", "own").groupBy("id", *place).agg(F.max("own").alias("own")))
     kept = sentences(first.join(_small(near.select("id")), "id", "left_anti"))
     again = _later(stored(kept), [*place, "nth"], lines.select("id", *place)).filter("repeats")
-    whole = equal.filter("repeats").select(*place).union(near.select(*place)).distinct()
-    return stored(whole.select(*place, F.lit(None).cast("int").alias("nth")).union(again.select(*place, "nth").distinct()))
+    mine = ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.version") == F.col("version"))).alias("own")
+    whole = equal.filter("repeats").select(*place, F.lit(None).cast("int").alias("nth"), mine).union(near.select(*place, F.lit(None).cast("int").alias("nth"), "own"))
+    return stored(whole.union(again.select(*place, "nth", mine)).groupBy(*place, "nth").agg(F.max("own").alias("own")))
 
 
 def _document(docs: DataFrame) -> list[Column]:
@@ -384,19 +389,23 @@ def _left(text: Column, marks: Column) -> Column:
 def without_repeats(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with repeated lines and sentences cut out of text; all columns stay.
 
-    A document that loses more than 1 - 1 / LEFT of its text, or all but white space, goes; others stay, null and empty ones too. Rows that repeat a
+    A document that loses all but white space goes, and one that is a near copy of others (LEFT, COPIED); all others
+    stay, null and empty ones too. Rows that repeat a
     doc_id with other texts lose only their own repeats; long texts are treated whole. An empty table gives an empty
     result. Of the texts, only the rows of docs are shuffled, and only if the marks are too many to be broadcast.
     """
     gone, document = repeats(docs, limit), ["doc_id", "version"]
     lines, parts = gone.filter("nth is null"), gone.filter("nth is not null")
     cuts = _bits(parts, [*document, "pos"], "nth", "nths").groupBy(*document).agg(F.collect_list(F.struct("pos", "nths")).alias("cuts"))
-    marks = _bits(lines, document, "pos", "whole").join(_bits(parts, document, "pos", "some"), document, "full").join(cuts, document, "left")
+    own = gone.groupBy(*document).agg(F.max("own").alias("own"))
+    marks = own.join(_bits(lines, document, "pos", "whole"), document, "left").join(_bits(parts, document, "pos", "some"), document, "left").join(cuts, document, "left")
     none = F.array().cast("array<long>")
-    marks = marks.select(F.struct(*document).alias("_key"), F.struct(F.coalesce("whole", none).alias("whole"), F.coalesce("some", none).alias("some"), "cuts").alias("_marks"))
+    marks = marks.select(F.struct(*document).alias("_key"), F.struct(F.coalesce("whole", none).alias("whole"), F.coalesce("some", none).alias("some"), "cuts", "own").alias("_marks"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = docs.select(F.struct(*_document(docs)).alias("_key"), row).join(marks, "_key", "left")
     new = F.when(F.col("_marks").isNull(), F.col("_row.text")).otherwise(_left(F.col("_row.text"), F.col("_marks")))
+    size = lambda t: F.length(t).cast("long")
+    copy = lambda t: ~F.col("_marks.own") & (LEFT * size(t) < size("_row.text")) & (size("_row.text") - size(t) >= COPIED)
     # one value or none, so that the text is worked out once
-    rows = rows.select("_row", F.explode(F.filter(F.array(new), lambda t: F.col("_marks").isNull() | (t.rlike(r"[^\s]") & (LEFT * F.length(t) >= F.length("_row.text"))))).alias("_text"))
+    rows = rows.select("_row", F.explode(F.filter(F.array(new), lambda t: F.col("_marks").isNull() | (t.rlike(r"[^\s]") & ~copy(t)))).alias("_text"))
     return rows.select(*(F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -273,6 +273,8 @@ def test_line_dedup_of_hot_keys_and_passages(spark, monkeypatch):
     assert {(i, t): [tuple(x) for x in got[i].cut] for i, t in rows if got[i].cut} == cut
     left = {r.doc_id: r.text for r in line_dedup.without_repeats(df).collect()}
     assert left[100] == rows[60][1] and 101 not in left and 102 not in left
+    copied = spark.createDataFrame([(0, passage), (1, f"{passage} Something of its own."), (2, "\n".join([f"{' '.join(words_of(rng, 30))}"] * 6))], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.without_repeats(copied).collect()} == {0, 2}
     more = spark.createDataFrame([(0, passage), (1, f"{' '.join(words_of(rng, 60))}. {passage} Yes!\n {passage}\nThe end.")], "doc_id long, text string")
     assert {r.doc_id: r.text.split()[-3:] for r in line_dedup.without_repeats(more).collect()}[1] == ["Yes!", "The", "end."]
 
