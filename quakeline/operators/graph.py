@@ -141,8 +141,8 @@ def trial_weights(flow: DataFrame, trials: int, spread: float = 0.2, seed: int =
 def trial_exposures(flow: DataFrame, start: DataFrame, hops: int = HOPS) -> DataFrame:
     """shock, node, trial, e: exposure of companies in every trial of flow (with ws).
 
-    The trials of a node are one array, so a hop shuffles the graph once, however many trials there are. Arrays are
-    added up by place in one aggregate.
+    The trials of a node are one array, so the join of a hop has one row an edge, however many trials there are. Arrays
+    are added up by place: one row a trial, pre-aggregated before the shuffle.
     """
     edges = flow.select("from_node", "to_node", "ws")
     n = F.size("ws")
