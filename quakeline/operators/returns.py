@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,10 @@ SLACK = 5
 PRICED_IN_DAYS, PRICED_IN_LEAST = 60, 40
 #: Days that are broadcast as bounds of a window.
 MOST_DAYS = 100_000
+# The market of a listing by its ending, the index of a market, how a currency's rate is quoted.
+MARKETS = {"T": "JP", "KS": "KR", "DE": "DE", "PA": "FR"}
+INDEXES = {"US": "^GSPC", "JP": "^N225", "KR": "^KS11", "DE": "^GDAXI", "FR": "^FCHI"}
+RATES = {"JPY": ("JPY=X", "divide"), "KRW": ("KRW=X", "divide"), "EUR": ("EURUSD=X", "multiply")}
 
 
 def calendar(prices: DataFrame, listing: str) -> DataFrame:
@@ -50,6 +54,29 @@ def as_of(left: DataFrame, rows: DataFrame, key: str, at: str, value: str, name:
     return left.join(last, (F.col(key) == F.col("_k")) & (F.col(at) == F.col("_at")), "left").drop("_k", "_at")
 
 
+def market(listing: Column | str = "listing") -> Column:
+    """The market that a listing trades on: by its ending, US without one, an index that of its market. Null if it is
+    unknown or a rate of exchange, which has none."""
+    c = F.col(listing) if isinstance(listing, str) else listing
+    ending = F.substring_index(c, ".", -1)
+    index = F.coalesce(*(F.when(c == i, m) for m, i in INDEXES.items()))
+    by_ending = F.coalesce(*(F.when(ending == e, m) for e, m in MARKETS.items()))
+    return F.when(c.endswith("=X"), None).when(c.startswith("^"), index).when(~F.contains(c, F.lit(".")), "US").otherwise(by_ending)
+
+
+def market_index(listing: Column | str = "listing") -> Column:
+    """The index of the market of a listing; null where `market` is."""
+    own = market(listing)
+    return F.coalesce(*(F.when(own == m, i) for m, i in INDEXES.items()))
+
+
+def dollar_rates(quotes: DataFrame) -> DataFrame:
+    """currency, day, rate (dollars for one unit) of quotes (listing, day, adj_close) of rates of exchange; quotes that are not above 0 give none."""
+    rate = F.coalesce(*(F.when(F.col("listing") == q, 1 / F.col("adj_close") if how == "divide" else F.col("adj_close")) for q, how in RATES.values()))
+    currency = F.coalesce(*(F.when(F.col("listing") == q, c) for c, (q, _) in RATES.items()))
+    return quotes.filter("adj_close > 0").select(currency.alias("currency"), "day", rate.alias("rate")).filter("currency is not null")
+
+
 def in_usd(prices: DataFrame, rates: DataFrame) -> DataFrame:
     """prices with usd: adj_close at the rate of the day or the last one within the slack; null without a rate."""
     priced = as_of(prices, rates, "currency", "day", "rate", "fx")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeline.functions.scalars import RELATIONS, edge_id
+from quakeline.operators.documents import RULINGS
 
 EVIDENCE = "array<struct<url:string,note:string,accessed:date,verified:boolean,span:struct<section:string,start:int,end:int>>>"
 _RAW = "file string, n int, kind string, record string, message string"
@@ -48,14 +49,14 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file", "n", "kind", "record", "message"])
 
 
-def read_sources(spark: SparkSession, folders: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_sources(spark: SparkSession, folders: dict[str, str], pattern: str = "*.y*ml") -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges, problems of all YAML files below each folder; every record has its source and file.
 
-    Files are read by Spark, so a folder may be in any store.
+    Files are read by Spark, so a folder may be in any store. pattern "*" reads what `write_records` wrote.
     """
     parts = []
     for order, (source, folder) in enumerate(folders.items()):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.y*ml").load(folder)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
         parts.append(files.select("path", "content").mapInPandas(_parse, _RAW).withColumns({"source": F.lit(source), "source_order": F.lit(order)}))
     raw = reduce(DataFrame.unionByName, parts)
     nodes = raw.filter("kind = 'node'").select("source", "source_order", "file", "n", F.from_json("record", _NODE).alias("r")).select("r.*", "source", "source_order", "file", "n")
@@ -66,6 +67,40 @@ def read_sources(spark: SparkSession, folders: dict[str, str]) -> tuple[DataFram
     return nodes, edges, problems
 
 
+#: What a YAML reader refuses or folds in a quoted text, and JSON leaves as it is.
+_UNSAFE = [*range(0x7F, 0xA0), 0x2028, 0x2029, 0xFEFF, 0xFFFE, 0xFFFF]
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Rows as YAML lists of flow mappings, one line each, without null fields; the files of a folder hold all of them.
+
+    JSON is YAML but for a few characters, which are escaped; so nothing passes through Python, and `read_sources`
+    reads the folder back.
+    """
+    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in records.columns)))
+    unsafe = "[" + "".join(f"\\x{{{c:x}}}" for c in _UNSAFE) + "]"
+    escaped = reduce(lambda x, c: F.replace(x, F.lit(chr(c)), F.lit(f"\\u{c:04x}")), _UNSAFE, line)
+    records.select(F.concat(F.lit("- "), F.when(line.rlike(unsafe), escaped).otherwise(line)).alias("value")).write.mode("error").text(path)
+
+
+_RULING = "edge string, url string, note_hash string, ruling string, date date, by string, reason string, line struct<at:timestamp,n:bigint>"
+
+
+def append_rulings(rulings: DataFrame, path: str) -> None:
+    """Rulings (edge, url, note_hash, ruling, date, by, reason) behind those of the ledger at path; nothing there changes.
+
+    line tells the order: the time of the append, then that of the rows. An unknown ruling fails the append as a whole.
+    """
+    known = F.when(F.col("ruling").isin(*RULINGS), F.col("ruling")).otherwise(F.raise_error(F.concat(F.lit("unknown ruling "), F.coalesce("ruling", F.lit("null")))))
+    line = F.struct(F.current_timestamp().alias("at"), F.monotonically_increasing_id().alias("n")).alias("line")
+    rulings.select("edge", "url", "note_hash", known.alias("ruling"), "date", "by", "reason", line).write.mode("append").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All rulings of a ledger; `latest_rulings` gives those that hold."""
+    return spark.read.schema(_RULING).parquet(path)
+
+
 def first_by_id(nodes: DataFrame) -> DataFrame:
     """The node of the first source that has it."""
     from quakeline.operators.bitemporal import latest
