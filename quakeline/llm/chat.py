@@ -35,8 +35,10 @@ def examples(turns: DataFrame) -> DataFrame:
     """conv_id, target (its place from 0), last, formatted, loss_start, loss_length (code points, 0: no target).
 
     turns: conv_id, turn, role, text, in order of turn; equal turns in order of role and text. Null texts and roles
-    are empty; null turns come first; rows without conv_id form one conversation. A conversation is one value of
-    the output and is gathered as one; no other group is.
+    are empty; null turns come first; rows without conv_id form one conversation. Repeated rows are turns of their own,
+    long texts are kept whole, other columns don't matter, and an empty table gives an empty result. A conversation is
+    one value of the output and is gathered as one; no other group is. Its examples hold all turns before their target,
+    so n assistant turns make text that grows with n * n.
     """
     rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     marked = lambda t: F.concat(F.lit(START), _role(t["role"]), F.lit("\n"), escaped(t["text"]), F.lit(END))
@@ -83,7 +85,10 @@ def digests(example: DataFrame) -> DataFrame:
 
 
 def with_control_strings(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """turns plus conversation -7, whose texts hold the control strings of a common template."""
+    """turns (conv_id, turn, role, text) plus conversation -7, whose texts hold the control strings of a common template.
+
+    Turns that have this id already become one conversation with it, in order of turn, so that none is lost.
+    """
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
