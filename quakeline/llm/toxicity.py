@@ -67,18 +67,24 @@ class Model:
     def fresh(cls) -> Model:
         rng = np.random.default_rng(3)
         n = FILTERS * len(WIDTHS)
+        embedding = rng.normal(0, 0.1, (BUCKETS + 1, WIDTH)).astype(np.float32)
+        embedding[BUCKETS] = 0
         return cls(
-            rng.normal(0, 0.1, (BUCKETS + 1, WIDTH)).astype(np.float32), [rng.normal(0, 0.3 / np.sqrt(w), (w, WIDTH, FILTERS)).astype(np.float32) for w in WIDTHS],
+            embedding, [rng.normal(0, 0.3 / np.sqrt(w), (w, WIDTH, FILTERS)).astype(np.float32) for w in WIDTHS],
             np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32), 0.0,
         )
 
     def pooled(self, ids: np.ndarray, at: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Maxima of every filter over each text (0 at least), and where they lie. The last bucket pads."""
+        """Maxima of every filter over each text (0 at least), and where they lie. The last bucket pads.
+
+        A filter that starts on padding has nothing to read, so it gives 0 there, whatever text comes next.
+        """
         n, last = len(at) - 1, max(WIDTHS) - 1
         lengths = np.diff(at) + last
         heads = np.concatenate(([0], np.cumsum(lengths)))
         padded = np.full((int(heads[-1]), 2), BUCKETS, np.int32)
         padded[np.arange(len(ids)) + np.repeat(np.arange(n) * last, np.diff(at))] = np.where(self.keep[ids], ids, BUCKETS)
+        pads = (heads[1:, None] - 1 - np.arange(last)).ravel()
         x = self.embedding[padded[:, 0]] + self.embedding[padded[:, 1]]
         best, where = np.zeros((n, FILTERS * len(WIDTHS)), np.float32), None
         if places:
@@ -87,6 +93,7 @@ class Model:
             conv = x @ kernel[0]
             for j in range(1, w):
                 conv[: len(x) - j] += x[j:] @ kernel[j]
+            conv[pads] = 0
             own = slice(k * FILTERS, (k + 1) * FILTERS)
             best[:, own] = np.maximum.reduceat(conv, heads[:-1], axis=0)
             if places:
@@ -94,12 +101,14 @@ class Model:
                     where[i, own] = heads[i] + conv[heads[i] : heads[i + 1]].argmax(axis=0)
         best += self.bias
         if places:
+            where[np.isin(where, pads)] = len(padded)  # past the end, where only padding is met
             where[best <= 0] = -1
             self._padded = padded
         return np.maximum(best, 0), where
 
     def logits(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return self.pooled(ids, at)[0] @ self.out + self.out_bias
+        # row by row, so that the sum of a text does not hang on its place in the batch
+        return (self.pooled(ids, at)[0] * self.out).sum(axis=1) + self.out_bias
 
     def score(self, logits: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (logits.astype(np.float64) - self.cut), -30, 30)))
