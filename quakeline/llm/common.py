@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quakeline.operators.scratch import removed, scratch, shared_dir, stored
 
-__all__ = ["lower_ascii", "removed", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["heaps_returned", "lower_ascii", "removed", "scratch", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,3 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lower_ascii(c: Column | str) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(F.col(c) if isinstance(c, str) else c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def heaps_returned(spark: SparkSession) -> None:
+    """Executors collect their garbage and give the heap above what lives back to the system.
+
+    A heap that has grown in one stage else stays that large while the Python workers of the next ones need their
+    share of the executor's memory. One task for each core: where some are busy, an executor may be left out.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()

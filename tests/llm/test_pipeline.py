@@ -55,3 +55,14 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     assert corpus_pipeline.run(spark, corpus(spark, tmp_path, [])).count() == 0
+
+
+def test_stages_return_heap(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    folder = corpus(spark, tmp_path, [(1, "One text.", "en", "a", 9)], [(1, "An item.")], [(1, 1, 0)])
+    docs, beans = spark.read.parquet(f"{folder}/documents.parquet"), spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(x.getCollectionCount() for x in beans() if "Young" not in x.getName())  # noqa: E731  collections of the whole heap
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole()
+        stage(spark, docs, folder)
+        assert whole() > before, name
