@@ -279,6 +279,15 @@ def test_line_dedup_of_hot_keys_and_passages(spark, monkeypatch):
     assert {r.doc_id: r.text.split()[-3:] for r in line_dedup.without_repeats(more).collect()}[1] == ["Yes!", "The", "end."]
 
 
+def test_line_keys_count_characters_once_a_line(spark):
+    df = spark.createDataFrame([(0, "abcdefghijkl"), (1, "abcdefghijk\u00e9"), (2, "\u00e9bcdefghijkl")], "id long, text string")
+    keyed = line_dedup._keyed(df, line_dedup.index_specs(2), 2)
+    key = {(r.id, r.spec): r.key for r in keyed.collect()}
+    assert key[0, 0] == key[1, 0] != key[2, 0] and key[0, 1] == key[1, 1] == key[2, 1] and key[1, 2] != key[0, 2] == key[2, 2]
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(" not in plan[: plan.index("Generate")]  # what stands above is worked out for each key
+
+
 def test_line_dedup_of_rows_that_repeat_an_id(spark):
     one, two, three = ("A line that is long enough, the first of all.", "Quite other words stand in this line, the second.", "And here we have the third line, unlike the others.")
     rows = [(0, one, "x"), (1, one, "x"), (1, two, "y"), (1, two, "z"), (None, one, "n"), (2, None, "t"), (3, f"{three}\n{three}\n{two}", "c")]
