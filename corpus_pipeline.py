@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeline.llm import decontamination, line_dedup, minhash, packing, toxicity
-from quakeline.llm.common import heaps_returned, removed, scratch, shared_dir, table
+from quakeline.llm.common import driver_returned, heaps_returned, removed, scratch, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold of their language."""
     heaps_returned(spark)
-    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    driver_returned(spark)  # the rows that it was fitted on
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

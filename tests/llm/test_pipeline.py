@@ -1,11 +1,18 @@
 """The pipeline as a whole on small corpora, stage by stage."""
 
+import gc
+import os
 import random
+import re
+from pathlib import Path
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quakeline.llm.common import heaps_returned
+
 
 def corpus(spark, folder, docs, bench=(), labels=()):
     spark.createDataFrame(list(docs), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
@@ -66,3 +73,23 @@ def test_stages_return_heap(spark, tmp_path):
         before = whole()
         stage(spark, docs, folder)
         assert whole() > before, name
+
+
+def test_driver_returns_freed_blocks(spark):
+    jvm = spark.sparkContext._jvm
+    unsafe, pids = jvm.org.apache.spark.unsafe.Platform, (os.getpid(), jvm.java.lang.ProcessHandle.current().pid())
+    held = lambda: [int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{p}/status").read_text())[1]) / 1024 for p in pids]  # noqa: E731  MB
+    heaps_returned(spark)
+    size, n = 100_000, 3_000
+    own, native = [np.ones(size, np.uint8) for _ in range(n)], [unsafe.allocateMemory(size) for _ in range(n)]
+    for x in native:
+        unsafe.setMemory(x, 1, size)
+    for x in native[:-1]:  # the last block of each stays, so that no heap shrinks at its end
+        unsafe.freeMemory(x)
+    del own[:-1]
+    gc.collect()
+    before = held()
+    heaps_returned(spark)
+    after = held()
+    unsafe.freeMemory(native[-1])
+    assert all(b - a > 150 for b, a in zip(before, after, strict=True)), (before, after)
