@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quakeline.functions.scalars import digest, normalised
@@ -29,13 +30,44 @@ def mentions(text: Column, words: Column) -> Column:
     return F.coalesce((F.size(words) > 0) & F.regexp_like(text, pattern), F.lit(False))
 
 
+def _heads(texts: DataFrame, of: DataFrame, least: float) -> DataFrame:
+    """text, gram, nth: the rarest pairs of neighbouring characters in texts (as of `grams`, counted in `of`), so many that texts alike share one."""
+    order = W.partitionBy("text").orderBy(F.coalesce("df", F.lit(0)), "gram", "nth")
+    each = texts.join(of, ["gram", "nth"], "left").withColumn("i", F.row_number().over(order))
+    shared = F.greatest(F.lit(1), F.ceil((3 * least - 2) / (2 - least) * F.length("text") - 1 - 1e-9))
+    return each.filter(F.col("i") <= F.greatest(F.lit(1), F.length("text") - shared)).select("text", "gram", "nth")
+
+
+def grams(texts: DataFrame) -> DataFrame:
+    """text, gram, nth of distinct texts: pairs of neighbouring characters, equal ones numbered from 1; a single character itself."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(2)))
+    each = texts.filter("text <> ''").select("text", F.explode(pairs).alias("gram")).groupBy("text", "gram").count()
+    return each.select("text", "gram", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth"))
+
+
+def alike_names(needles: DataFrame, names: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """Pairs (needle, name, score) of distinct normalised texts (text) with a `name_score` of at least `least`, none left out.
+
+    Of texts with m characters in common order and t in all, at least 3 m - t - 1 pairs of neighbours are equal; a
+    ratio of `least` makes that a share of the length of either, and a name that holds the needle has more. So both
+    have one of their rarest pairs in common. least is above 0.75.
+    """
+    b = grams(names)
+    of = b.groupBy("gram", "nth").agg(F.count("*").alias("df"))
+    both = _heads(grams(needles), of, least).withColumnRenamed("text", "needle").join(_heads(b, of, least).withColumnRenamed("text", "name"), ["gram", "nth"])
+    n, m = F.length("needle"), F.length("name")
+    pairs = both.select("needle", "name").filter((2 * F.least(n, m) >= least * (n + m)) | F.contains("name", "needle")).distinct()
+    near = F.levenshtein("needle", "name") <= (1 - least) * (n + m) + 1e-9  # what is not in order must be added or taken away
+    pairs = pairs.filter(near | F.contains("name", "needle"))
+    return pairs.withColumn("score", D.name_score(F.col("needle"), F.col("name"))).filter(F.col("score") >= least)
+
+
 def matched_companies(said: DataFrame, names: DataFrame) -> DataFrame:
-    """said (name) -> company: the best of names (id, label, name) with LEAST_SCORE at least, among those that share a word."""
-    words = lambda c: F.explode(F.array_distinct(F.split(normalised(c), " ")))
-    short = D.company_name(F.col("name"))
-    a = said.select("name").distinct().select(F.col("name").alias("said"), short.alias("needle"))
-    pairs = a.select("said", "needle", words(F.col("needle")).alias("w")).join(names.select("id", "label", F.col("name").alias("own"), words(F.col("name")).alias("w")), "w").filter("w <> ''")
-    scored = pairs.select("said", "needle", "id", "label", "own").distinct().withColumn("score", D.name_score(F.col("needle"), F.col("own"))).filter(F.col("score") >= LEAST_SCORE)
+    """said (name) -> company: the best of all names (id, label, name) with LEAST_SCORE at least."""
+    a = said.select(F.col("name").alias("said"), normalised(D.company_name(F.col("name"))).alias("needle")).distinct()
+    b = names.select("id", "label", normalised(F.col("name")).alias("own")).distinct()
+    alike = alike_names(a.select(F.col("needle").alias("text")).distinct(), b.select(F.col("own").alias("text")).distinct())
+    scored = a.join(alike, "needle").join(b, F.col("name") == F.col("own"))
     return scored.groupBy(F.col("said").alias("name")).agg(F.min_by("id", F.struct((-F.col("score")).alias("s"), "label", "id")).alias("company"))
 
 

@@ -1,6 +1,7 @@
 """Answers, candidates and their selection, news queries, markets, writers and the ledger."""
 
 import json
+import random
 from datetime import date
 
 import pytest
@@ -102,6 +103,28 @@ def test_checked_answers(spark):
     assert {r.input: r.found for r in A.requires_recall(seed, got.filter("kept and kind = 'requires'")).collect()} == {"product/rollers": True, "product/paint": False}
 
 
+def test_companies_are_matched_without_a_common_word(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    names = ["Ploughworks", "Data Dog", "Quarry-Stone Works", "X", "Ab", "aa aa aa aa", ""] + ["".join(rng.choice("abc  dé") for _ in range(rng.randrange(1, 16))) for _ in range(250)]
+    edited = lambda t: "".join(rng.choice(["", c + rng.choice("ab é"), rng.choice("abcd")]) if rng.random() < 0.1 else c for c in t)
+    said = ["Ploughwork Inc", "Datadog", "Quarry Stoneworks", "x", "aB", "aaaa aaaa", "", None] + [edited(t) for t in names for _ in range(3)]
+    norm = lambda t: " ".join(t.lower().replace("-", " ").split())
+
+    def score(a, b):
+        return 1.0 if a == b else 0.6 + 0.4 * len(a) / len(b) if a in b else SequenceMatcher(None, a, b).ratio()
+
+    needles, own = {norm(t) for t in said if t} - {""}, {norm(t) for t in names} - {""}
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")
+    want = {(a, b) for a in needles for b in own if score(a, b) >= A.LEAST_SCORE}
+    got = A.alike_names(frame(needles | {""}), frame(own | {""})).collect()
+    assert {(r.needle, r.name) for r in got} == want and len(got) == len(want) > 300
+    firms = spark.createDataFrame([(f"company/{i:03}", t, t) for i, t in enumerate(names)], "id string, label string, name string")
+    found = {r.name: r.company for r in A.matched_companies(spark.createDataFrame([(t,) for t in said[:4] + [None, ""]], "name string"), firms).collect()}
+    assert found == {"Ploughwork Inc": "company/000", "Datadog": "company/001", "Quarry Stoneworks": "company/002", "x": "company/003"}
+
+
 def test_markets_and_rates(spark):
     want = {"ABC": "^GSPC", "1.T": "^N225", "5.KS": "^KS11", "B.DE": "^GDAXI", "A.PA": "^FCHI", "^N225": "^N225", "^NONE": None, "X.YY": None, "JPY=X": None}
     assert {r.listing: r.i for r in spark.createDataFrame([(k,) for k in want], "listing string").select("listing", R.market_index().alias("i")).collect()} == want
