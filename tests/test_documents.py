@@ -121,6 +121,29 @@ def test_quotes_names_and_exposures(spark):
     assert said.filter(D.number_in_quote(F.col("q"), F.col("share")) != F.col("ok")).count() == 0
 
 
+def test_searches_equal_plain_ones(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    import __spark_entry__ as entry
+
+    def score(a, b):
+        return 1.0 if a == b else 0.6 + 0.4 * len(a) / len(b) if a in b else SequenceMatcher(None, a, b).ratio()
+
+    rows = [(k, f"Supplier#{k * 7 % 200:09}") for k in range(200)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    want_part, want_fuzzy = set(), set()
+    for k, name in rows[::20]:
+        want_part |= {(k, i, round(score(name[-5:], n.lower()), 9)) for i, n in rows if name[-5:] in n}
+        best = sorted((-score(f"suplier {name[-5:]}", n.lower()), n, i) for i, n in rows)[:10]
+        want_fuzzy |= {(k, i, round(-x, 9)) for x, _, i in best if -x >= 0.6}
+    for query, want in (("q_search_substring", want_part), ("q_search_fuzzy", want_fuzzy)):
+        got = entry.queries()[query](spark, str(tmp_path)).collect()
+        assert {(r["query"], r.id, round(r.score, 9)) for r in got} == want and len(got) == len(want) and {r["query"] for r in got} == set(range(0, 200, 20)), query
+    names = spark.createDataFrame([(1, "PLW", "Ploughworks"), (1, "PLW", "Plough-Works Ltd"), (2, "Springs", "Springs"), (3, "N", None)], "id int, label string, name string")
+    needles = spark.createDataFrame([(1, "plough works"), (2, " "), (3, None), (4, "SPRINGS"), (5, "plough")], "query int, needle string")
+    assert {(r["query"], r.id, round(r.score, 3)) for r in D.searches(names, needles).collect()} == {(1, 1, round(max(score("plough works", "plough works ltd"), score("plough works", "ploughworks")), 3)), (4, 2, 1.0), (5, 1, round(score("plough", "ploughworks"), 3))}
+
+
 def test_payloads(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps({"timeline": [{"series": "s", "data": [{"date": "20250102T000000Z", "value": 3, "norm": 9}, {"date": "bad", "value": 1}]}]}))
     assert [(r.day, r.matched, r.norm) for r in P.news_volume(P.news_timeline(spark, str(tmp_path / "v.json"))).collect()] == [(date(2025, 1, 2), 3, 9)]
