@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Facts of one class this close in time are told apart by their source, not by date.
 SAME_PERIOD_DAYS = 90
+#: Rows of a batch that ranked keys go back in.
+BATCH_ROWS = 10_000
 
 
 def known_at(day: str | Column) -> Column:
@@ -95,6 +99,8 @@ def winners(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _ranked_class(days: list[int], order: list[tuple], n: int) -> list[int]:
     """Places of the rows of one class, which come newest first. A heap holds those within reach of the newest one left."""
+    if len(days) == 1:
+        return [n]
     place, heap, taken, newest, ahead = [0] * len(days), [], [False] * len(days), 0, 0
     for rank in range(n, n + len(days)):
         while taken[newest]:
@@ -107,24 +113,52 @@ def _ranked_class(days: list[int], order: list[tuple], n: int) -> list[int]:
     return place
 
 
+def _ranked_keys(table: pa.Table, schema: pa.Schema) -> list[pa.RecordBatch]:
+    """Rows of whole keys, each in order of class and day, with their places. _n counts the rows of a key from 1."""
+    ns, cls, days, first = (table[c].to_numpy().tolist() for c in ("_n", "_class", "_day", "_order"))
+    starts = [i for i, n in enumerate(ns) if n == 1 or cls[i] != cls[i - 1]] + [len(ns)]
+    places: list[int] = []
+    for lo, hi in zip(starts, starts[1:], strict=False):
+        own = days[lo:hi]
+        places += _ranked_class(own, [(s, -d) for s, d in zip(first[lo:hi], own, strict=True)], ns[lo])
+    out = table.drop_columns(["_n", "_class", "_day", "_order"]).append_column("rank_in_key", pa.array(places, pa.int32()))
+    return out.cast(schema).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
+
+
 def precedence(rows: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of each key with rank_in_key, the winner first, then the winner of what is left, and so on.
 
     Classes follow each other. Within a class the reach of 90 days moves on with the newest row left, so a sweep over
-    the days with a heap ranks n rows in n log n steps; a key has some rows for each source, which are ranked together.
+    the days with a heap ranks n rows in n log n steps. Spark sorts the keys; a batch of many keys goes through Python
+    at once, and a key that runs on into the next batch waits for its end. rows should have no columns but those needed.
     """
+    cls = F.when(F.col("trusted"), 0).otherwise(2) + F.when(F.col("weight_source") == "bucket", 1).otherwise(0)
+    order = W.partitionBy(*keys).orderBy("_class", F.desc("_day"), F.desc("row_id"))
+    # a missing source_order comes first, as among winners; a missing day comes last
+    placed = rows.withColumns({"_class": cls, "_day": F.coalesce(F.unix_date(F.col("valid_from").cast("date")), F.lit(-(1 << 30))), "_order": F.coalesce(F.col("source_order").cast("long"), F.lit(-(1 << 63)))})
+    placed = placed.withColumn("_n", F.row_number().over(order))
     fields = T.StructType([*rows.schema, T.StructField("rank_in_key", T.IntegerType())])
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        cls = 2 * (~pdf.trusted.astype(bool)).astype(int) + (pdf.weight_source == "bucket").astype(int)
-        pdf = pdf.assign(_class=cls, _day=pd.to_datetime(pdf.valid_from)).sort_values(["_class", "_day", "row_id"], ascending=[True, False, False])
-        places: list[int] = []
-        for _, own in pdf.groupby("_class", sort=True):
-            days = (own._day - own._day.min()).dt.days.tolist()
-            places += _ranked_class(days, [(s, -d) for s, d in zip(own.source_order.tolist(), days, strict=True)], len(places) + 1)
-        return pdf.assign(rank_in_key=places)[[f.name for f in fields]]
-
-    return rows.groupBy(*keys).applyInPandas(rank, fields)
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_n").to_numpy(zero_copy_only=False) == 1)
+            if len(starts):
+                cut = int(starts[-1])
+                done = pa.Table.from_batches([*held, batch.slice(0, cut)])
+                if done.num_rows:
+                    yield from _ranked_keys(done, _without(batch.schema))
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield from _ranked_keys(pa.Table.from_batches(held), _without(held[0].schema))
+
+    return placed.mapInArrow(rank, fields)
+
+
+def _without(schema: pa.Schema) -> pa.Schema:
+    return pa.schema([*(f for f in schema if f.name not in ("_n", "_class", "_day", "_order")), pa.field("rank_in_key", pa.int32())])
 
 
 def snapshot(edges: DataFrame, as_of: str, known: str | None = None) -> DataFrame:

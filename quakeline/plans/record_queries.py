@@ -69,7 +69,8 @@ def q_snapshot_known_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.precedence(facts(spark, sf_dir), ["src", "rel", "dst"]).select("src", "dst", "row_id", "rank_in_key")
+    rows = facts(spark, sf_dir).select("src", "rel", "dst", "trusted", "weight_source", "valid_from", "source_order", "row_id")
+    return T.precedence(rows, ["src", "rel", "dst"]).select("src", "dst", "row_id", "rank_in_key")
 
 
 @query("""SELECT count(*) FILTER (WHERE n.c_custkey IS NOT NULL AND h2 IS DISTINCT FROM h1) AS inserted, count(*) FILTER (WHERE o.c_custkey IS NOT NULL AND h2 IS DISTINCT FROM h1) AS superseded, count(*) FILTER (WHERE h1 = h2) AS unchanged

@@ -112,6 +112,27 @@ def test_precedence_agrees_with_picking_one_by_one(spark):
         assert order == want
 
 
+def test_precedence_of_keys_over_many_batches(spark):
+    """Keys of one row up to more than a batch, missing keys and orders, in the order of the batches that Spark makes; no pandas frame a key."""
+    keys, day = ["a", None, *(f"k{i}" for i in range(300))], date(2021, 1, 1)
+    rows = [(k, "p", i % 2 == 0, "filing", day + timedelta(i * 7 % 50), None if i == 3 else i % 3, f"r{i:05d}") for k in keys for i in range(1_500 if k == "a" else 7)]
+    df = spark.createDataFrame(rows, "k string, q string, trusted boolean, weight_source string, valid_from date, source_order int, row_id string").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = T.precedence(df, ["k", "q"])
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(rows)
+    for k in keys:
+        own = sorted((r for r in got if r.k == k), key=lambda r: r.rank_in_key)
+        # all days are within reach of each other, so order within a class is by source, then the newest
+        want = sorted((r for r in rows if r[0] == k), key=lambda r: (not r[2], -1 if r[5] is None else r[5], -r[4].toordinal(), -int(r[6][1:])))
+        assert [(r.row_id, r.rank_in_key) for r in own] == [(r[6], i + 1) for i, r in enumerate(want)]
+
+
 def test_surprise_of_large_counts(spark):
     """At and below means whose exp(-mean) underflows, against sums of logarithms."""
     rows = [(m, x) for x in (0.5, 3.0, 12.0, 700.0, 746.0, 800.0, 5000.0) for m in sorted({1, 2, int(x), int(x - x**0.5), int(x + x**0.5)}) if m > 0]
