@@ -4,8 +4,10 @@ import json
 import random
 import time
 from datetime import date
+from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,39 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "t"))
     assert rows.count() == 2
     assert rows.orderBy(F.desc("recorded_at"), F.desc("row_id")).first().matched == 5
+
+
+def test_scores_by_steps_equal_difflib():
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abc d") for _ in range(rng.randint(0, 14))) for _ in range(300)} | {"ab" * 120, "abcd" * 60})
+    table = D._Names(names, np.arange(len(names)))
+    for _ in range(40):
+        text = "".join(rng.choice("abc dx") for _ in range(rng.randint(1, 12)))
+        got = table._ratios(text, np.arange(len(names)))
+        assert got.tolist() == [SequenceMatcher(None, text, str(x)).ratio() for x in table.texts]
+
+
+@pytest.mark.parametrize(("task_needles", "task_names"), [(3, 40), (250, 20_000)])
+def test_searches_score_few_pairs(spark, monkeypatch, task_needles, task_names):
+    """The same as scoring every pair; names of several ids, ids of several names, missing labels."""
+    monkeypatch.setattr(D, "TASK_NEEDLES", task_needles)
+    monkeypatch.setattr(D, "TASK_NAMES", task_names)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 7))) for _ in range(60)]
+    names = [(i, None if i % 17 == 0 else f"L{i % 30}", rng.choice(words) + rng.choice(["", " " + rng.choice(words)])) for i in range(90) for _ in range(2)]
+    needles = [(q, rng.choice(words) + ("x" if q % 2 else "")) for q in range(12)] + [(98, " "), (99, None)]
+    n = spark.createDataFrame(names, "id long, label string, name string")
+    found = D.searches(n, spark.createDataFrame(needles, "query int, needle string"), 5)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+    def score(a, b):
+        return 1.0 if a == b else 0.6 + 0.4 * len(a) / len(b) if a in b else SequenceMatcher(None, a, b).ratio()
+
+    want = {}
+    for q, a in needles[:12]:
+        best = {}
+        for i, label, b in names:
+            best[i, label] = max(best.get((i, label), 0.0), score(a, b))
+        top = sorted((k for k, v in best.items() if v >= 0.6), key=lambda k: (-best[k], k[1] is not None, k[1] or "", k[0]))[:5]
+        want |= {(q, *k): pytest.approx(best[k]) for k in top}
+    assert {(r.query, r.id, r.label): r.score for r in found.collect()} == want
