@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quakeline.functions.scalars import MIN_CONFIDENCE
 from quakeline.operators import attention as A
 from quakeline.operators import graph as G
+from quakeline.operators.scratch import stored
 
 #: Groups of a company's profile: relation, the end on which the company stands, name of the group.
 GROUPS = (
@@ -38,7 +39,10 @@ def find_exposed(
     found = found.withColumn("place", F.row_number().over(W.partitionBy("shock").orderBy("rank")))
     if limit is not None:
         found = found.filter(F.col("place") <= limit)
-    best = _listed(G.top_paths(flow, start, k, hops), "shock", "node")
+    if limit is not None:  # few rows, so that paths are looked for to these only
+        found = stored(found)
+    wanted = found.select("shock", "node") if limit is not None else None
+    best = _listed(G.top_paths(flow, start, k, hops, wanted), "shock", "node")
     found = found.join(best, ["shock", "node"], "left")
     top = F.col("paths")[0]
     if nodes is not None:
